@@ -46,9 +46,9 @@ SQL: dict[str, str] = {
         win AS (SELECT item, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS gram FROM item WHERE len(w) > 0),
         lens AS (SELECT DISTINCT n FROM win),
         doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        place AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS at, w FROM doc, lens WHERE len(w) >= n),
-        hit AS (SELECT p.doc_id, p.at, p.n, win.item FROM (SELECT doc_id, at, n, array_to_string(w[at:at + n - 1], ' ') AS gram FROM place) p JOIN win ON win.n = p.n AND win.gram = p.gram),
-        words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS x FROM hit) GROUP BY doc_id),
+        place AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, w FROM doc, lens WHERE len(w) >= n),
+        hit AS (SELECT p.doc_id, p.pos, p.n, win.item FROM (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS gram FROM place) p JOIN win ON win.n = p.n AND win.gram = p.gram),
+        words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS x FROM hit) GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
