@@ -15,6 +15,7 @@ from .langid import identify
 from .mixing import mix
 from .simhash import fingerprint_hex, near_duplicates
 from .token_count import count_tokens
+from .token_shards import write_manifest, write_shards
 from .topk import top_k
 
 
@@ -49,6 +50,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, folder = write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    write_manifest(found, folder)
+    return found
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -68,7 +75,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op3_simhash_near_dedup, op4_html_extraction, op5_exact_topk, op6_language_id, op8_chat_format, op9_source_mixing, op10_token_count)
+    for f in (op1_decontamination, op3_simhash_near_dedup, op4_html_extraction, op5_exact_topk, op6_language_id, op7_token_shards, op8_chat_format, op9_source_mixing, op10_token_count)
 }
 
 #: A text's words as the decontamination query takes them.

@@ -20,6 +20,13 @@ bits instead. Links of all shards are joined into components by passing on the
 smallest id, with a jump along labels in each round.
 
 Only distinct fingerprints take part, so exact copies are one row here.
+
+The wide search is for copies with more edits: two texts whose shingle sets
+have a similarity of 0.8 differ in some 15 % of the bits. It takes 128 bits and
+trees on sampled bits instead of all pairs of blocks: such a pair is at distance
+0 in a tree of k bits with probability 0.85 ** k, so enough trees are taken that
+it is missed by all of them in one case of twenty. What a shard shows is still
+compared by the whole distance.
 """
 
 from __future__ import annotations
@@ -57,18 +64,27 @@ def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
     return [xxh64_intdigest(raw[a + 1 : b], 42) for a, b in zip(gaps, gaps[words:])]
 
 
-def fingerprints(texts: list[str], words: int = WORDS) -> np.ndarray:
-    """A signed 64-bit number for each text; 0 for one without words."""
-    out = np.zeros(len(texts), np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes; 0 if there are none."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(texts: list[str], words: int = WORDS, mixes: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """For each mix, a signed 64-bit number for each text; 0 for one without words. Another mix gives other bits from the same hashes."""
+    out = [np.zeros(len(texts), np.uint64) for _ in mixes]
     for k, text in enumerate(texts):
         hashes = np.array(shingle_hashes(text, words), np.uint64)
-        if len(hashes):
-            votes = np.zeros(64, np.int64)
-            for at in range(0, len(hashes), 1 << 16):
-                part = hashes[at : at + (1 << 16)]
-                votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[k] = np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out.view(np.int64)
+        for own, mix in zip(out, mixes):
+            other = hashes
+            if mix:
+                other = (hashes ^ hashes >> np.uint64(29)) * np.uint64(mix)
+                other ^= other >> np.uint64(32)
+            own[k] = majority(other)
+    return [x.view(np.int64) for x in out]
 
 
 def blocks_of(bits: list[int], n: int) -> list[list[int]]:
@@ -255,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(texts_of(batch, text), words), pa.int64())], names=["id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(texts_of(batch, text), words)[0], pa.int64())], names=["id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
     fps = cut(map_batches(docs.select(F.col(id_col).alias("id"), text), run, f"id {kind}, fp bigint", rows=500))
@@ -269,12 +285,107 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+#: Wide search: words of a shingle, the part of the bits in which texts of similarity 0.8 differ, and the misses that are accepted.
+WIDE_WORDS, WIDE_SHARE, WIDE_MISSES = 5, 0.152, 0.05
+MIX = 0xD6E8FEB86659FD93
+
+
+def wide_masks(rows: int) -> list[tuple[int, int]]:
+    """Sampled bits of 128, as two masks, for each tree. Shards keep some 64 rows at most by chance, so a tree's bits grow with the rows."""
+    k = max(18, int(np.ceil(np.log2(max(rows, 2)))) - 6)
+    trees = int(np.ceil(np.log(WIDE_MISSES) / np.log(1 - (1 - WIDE_SHARE) ** k)))
+    out = []
+    for t in range(trees):
+        bits = np.random.default_rng(t).choice(128, min(k, 128), replace=False).tolist()
+        out.append((signed(sum(1 << b for b in bits if b < 64)), signed(sum(1 << b - 64 for b in bits if b >= 64))))
+    return out
+
+
+def wide_links(ids: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of ids that join a shard's rows as all pairs within the radius would; what has been found leaves the search."""
+    froms, tos = [], []
+    while len(ids) > 1:
+        root, queue = ids[0], [(a[0], b[0])]
+        ids, a, b = ids[1:], a[1:], b[1:]
+        while queue and len(ids):
+            x, y = queue.pop()
+            near = np.bitwise_count(a ^ x) + np.bitwise_count(b ^ y) <= radius
+            if near.any():
+                froms.append(ids[near])
+                tos.append(np.full(len(froms[-1]), root))
+                queue.extend(zip(a[near], b[near]))
+                ids, a, b = ids[~near], a[~near], b[~near]
+    none = np.empty(0, np.int64)
+    return (np.concatenate(froms), np.concatenate(tos)) if froms else (none, none)
+
+
+def wide_searched(shards: DataFrame, radius: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+
+        def links(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key = part["key"]
+            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.append(edges[1:], len(key))
+            more = ends - edges > 1
+            found = []
+            # most shards are pairs by chance: these are compared all at once
+            two = edges[ends - edges == 2]
+            near = np.bitwise_count(part["x"][two] ^ part["x"][two + 1]) + np.bitwise_count(part["y"][two] ^ part["y"][two + 1]) <= radius
+            found.append((part["id"][two][near], part["id"][two + 1][near]))
+            for p, q in zip(edges[more].tolist(), ends[more].tolist()):
+                if q - p > 2:
+                    found.append(wide_links(part["id"][p:q], part["x"][p:q], part["y"][p:q], radius))
+            froms, tos = (np.concatenate(z) for z in zip(*found))
+            if len(froms):
+                yield pa.RecordBatch.from_arrays([pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            part = {c: batch.column(c).to_numpy() for c in ("key", "id", "x", "y")}
+            if rest is not None:
+                part = {c: np.concatenate((rest[c], part[c])) for c in part}
+            if len(part["key"]) == 0:
+                continue
+            last = int(np.searchsorted(part["key"], part["key"][-1]))  # this shard may go on in the next batch
+            rest = {c: v[last:].copy() for c, v in part.items()}
+            if last:
+                yield from links({c: v[:last] for c, v in part.items()})
+        if rest is not None:
+            yield from links(rest)
+
+    return shards.mapInArrow(run, "a bigint, b bigint")
+
+
+def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WIDE_WORDS, radius: int = 20) -> DataFrame:
+    """id_col and component_id of each row of docs, by the wide search.
+
+    Links join texts whose 128-bit fingerprints differ in at most `radius` bits
+    (20: a similarity of about 0.8 of the shingle sets); see the module for its
+    recall. Cases are those of near_duplicates; ids are integers.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = fingerprints(texts_of(batch, text), words, (0, MIX))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in found)], names=["id", "x", "y"])
+
+    fps = cut(map_batches(docs.select(F.col(id_col).cast("bigint").alias("id"), text), run, "id bigint, x bigint, y bigint", rows=500))
+    nodes = cut(fps.groupBy("x", "y").agg(F.min("id").alias("id")))
+    known = nodes.filter(F.col("id").isNotNull())
+    trees = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(q).alias("q")) for t, (p, q) in enumerate(wide_masks(known.count()))])
+    each = known.select("id", "x", "y", F.explode(trees).alias("m"))
+    each = each.select("id", "x", "y", F.xxhash64("m.t", F.col("x").bitwiseAND(F.col("m.p")), F.col("y").bitwiseAND(F.col("m.q"))).alias("key"))
+    links = cut(wide_searched(each.repartition("key").sortWithinPartitions("key"), radius)).distinct()
+    found = components(known.select(F.col("id").alias("fp"), "id"), links)
+    of = nodes.join(found, nodes["id"] == found["fp"], "left").select("x", "y", F.coalesce("component", "id").alias("component_id"))
+    return fps.join(of, ["x", "y"]).select(F.col("id").alias(id_col), "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates, that with the smallest id; all columns are kept.
+    """docs with one row of each group that the wide search joins, that with the smallest id; all columns are kept.
 
-    Rows without an id are kept only where their group has no other.
+    Rows without an id are dropped; of rows that share an id, one is kept.
     """
-    found = near_duplicates(docs, id_col, text)
+    found = wide_duplicates(docs, id_col, text)
     first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     kept = cut(first.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")))
     out = docs.join(kept.filter(F.col("_id").isNotNull()), docs[id_col] == kept["_id"])
