@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import find_contamination
 from .html_extract import extract_text
 from .langid import identify
+from .lm_score import score_documents
 from .mixing import mix
 from .simhash import fingerprint_hex, near_duplicates
 from .token_count import count_tokens
@@ -30,6 +31,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    scores, about = score_documents(docs, ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(about["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -75,7 +83,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op3_simhash_near_dedup, op4_html_extraction, op5_exact_topk, op6_language_id, op7_token_shards, op8_chat_format, op9_source_mixing, op10_token_count)
+    for f in (op1_decontamination, op2_lm_scoring, op3_simhash_near_dedup, op4_html_extraction, op5_exact_topk, op6_language_id, op7_token_shards, op8_chat_format, op9_source_mixing, op10_token_count)
 }
 
 #: A text's words as the decontamination query takes them.
