@@ -5,6 +5,7 @@ Unicode's, as the patterns below spell out for Java.
 """
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -88,28 +89,28 @@ def hash_bucket(text: Column, modulo: int) -> Column:
     return F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("bigint") % modulo
 
 
-def word_hits(text: Column, words: str) -> Column:
-    """How often one of the words stands alone, whatever its case."""
-    low = F.lower(F.translate(text, "İıſK", "iisk"))
-    word = r"[\p{L}\p{N}_]"
-    return F.regexp_count(low, F.lit(f"(?<!{word})(?:{words})(?!{word})"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it occurs."""
+    return F.transform(F.array(value), use)[0]
+
+
+def word_hits(words: Column, which: str) -> Column:
+    """How many of an array of lower-case words are among those given."""
+    return F.size(F.filter(words, lambda w: w.isin(*which.split("|"))))
 
 
 def guess_lang(text: Column) -> Column:
     """A language from script, marked letters and function words, where one dominates; else en."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    letters = F.greatest(count(r"[\p{L}\p{Nl}\p{No}]"), F.lit(1))
-    words = F.greatest(F.regexp_count(text, F.lit(rf"{UNICODE}[^\s\x1c-\x1f]+")), F.lit(1))
-    need = F.greatest(F.when(F.length(text) < 80, 2).otherwise(3), F.floor(F.lit(0.04).cast("double") * words).cast("int"))
-    scores = {"tr": 2 * count(TURKISH_LETTERS) + word_hits(text, TURKISH), "de": count(GERMAN_LETTERS) + word_hits(text, GERMAN), "fr": count(FRENCH_LETTERS) + word_hits(text, FRENCH)}
-    best = F.greatest(*scores.values())
-    out = None
-    for code, pattern in SCRIPTS:
-        hit = count(pattern) / letters >= SCRIPT_SHARE
-        out = F.when(hit, code) if out is None else out.when(hit, code)
-    for code, score in scores.items():
-        out = out.when((score == best) & (best >= need), code)
-    return out.otherwise("en")
+    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))  # noqa: E731  each match is one character
+    letters = F.greatest(count(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(1))
+    script = let(letters, lambda n: F.coalesce(*[F.when(count(f"{p}+") / n >= SCRIPT_SHARE, code) for code, p in SCRIPTS]))
+    n_words = F.greatest(F.size(F.array_remove(F.split(text, rf"{UNICODE}{SPACE}+"), "")), F.lit(1))
+    need = F.greatest(F.when(F.length(text) < 80, 2).otherwise(3), F.floor(F.lit(0.04).cast("double") * n_words).cast("int"))
+    # four letters that other tables of Unicode write alike in lower case
+    tokens = F.split(F.lower(F.translate(text, "İı\u017f\u212a", "iisk")), r"[^\p{L}\p{N}_]+")
+    points = let(tokens, lambda w: F.struct((2 * count(TURKISH_LETTERS) + word_hits(w, TURKISH)).alias("tr"), (count(GERMAN_LETTERS) + word_hits(w, GERMAN)).alias("de"), (count(FRENCH_LETTERS) + word_hits(w, FRENCH)).alias("fr")))
+    best = let(F.struct(points.alias("p"), need.alias("need")), lambda s: F.when(F.greatest(s["p"]["tr"], s["p"]["de"], s["p"]["fr"]) < s["need"], "en").when((s["p"]["tr"] >= s["p"]["de"]) & (s["p"]["tr"] >= s["p"]["fr"]), "tr").when(s["p"]["de"] >= s["p"]["fr"], "de").otherwise("fr"))
+    return F.coalesce(script, best, F.lit("en"))
 
 
 def is_fp_hard(text: Column) -> Column:
