@@ -151,8 +151,7 @@ def subject_and_body(subject: Column, body: Column) -> Column:
     return strip(F.when(F.coalesce(subject, F.lit("")) != "", F.concat_ws("\n", subject, F.coalesce(body, F.lit("")))).otherwise(F.coalesce(body, F.lit(""))))
 
 
-@F.pandas_udf("string")
-def literal_to_json(values: pd.Series) -> pd.Series:
+def literal_to_json(value: Column) -> Column:
     """Python literals as JSON; null where they are none."""
     import ast
     import json
@@ -163,7 +162,11 @@ def literal_to_json(values: pd.Series) -> pd.Series:
         except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
             return None
 
-    return values.map(one, na_action="ignore")
+    @F.pandas_udf("string")
+    def apply(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
+
+    return apply(value)
 
 
 def parse_record(value: Column, schema: str) -> Column:
