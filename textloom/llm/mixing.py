@@ -36,7 +36,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...], most: float) -> DataFrame:
-    """key, source, source_size, weights (one for each phase) and target of each source of (key, source, size).
+    """key, source, source_size, weights (the source's share of each phase) and target of each source of (key, source, size).
 
     One row for each source comes out of the shuffle; the windows below run over those rows only.
     """
@@ -49,9 +49,10 @@ def source_targets(sized: DataFrame, phases: tuple[tuple[float, tuple[float, ...
     # the share of all words: over the phases, each phase's share by its weights
     everyone = Window.partitionBy()
     share = F.lit(0.0)
+    parts = [F.coalesce(F.try_divide(F.col("weights")[k], F.sum(F.col("weights")[k]).over(everyone)), F.lit(0.0)) for k in range(len(phases))]
+    per = per.withColumn("weights", F.array(*parts))
     for k, (a, _) in enumerate(phases):
-        w = F.col("weights")[k]
-        share = share + F.lit(a / length) * w / F.sum(w).over(everyone)
+        share = share + F.lit(a / length) * F.col("weights")[k]
     per = per.withColumn("share", share).withColumn("cap", F.col("source_size") * F.lit(float(most)))
     # the level: sources in the order in which they reach their cap; those before a source take theirs, it and the rest share what is left
     order = Window.partitionBy().orderBy(F.try_divide("cap", "share").asc_nulls_last(), F.col("place").asc())

@@ -342,6 +342,7 @@ def wide_searched(shards: DataFrame, radius: int) -> DataFrame:
 
         for batch in batches:
             part = {c: batch.column(c).to_numpy() for c in ("key", "id", "x", "y")}
+            part |= {c: part[c].view(np.uint64) for c in ("x", "y")}  # of a signed number, the bits of its absolute value are counted
             if rest is not None:
                 part = {c: np.concatenate((rest[c], part[c])) for c in part}
             if len(part["key"]) == 0:
