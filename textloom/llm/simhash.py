@@ -384,12 +384,13 @@ def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group that the wide search joins, that with the smallest id; all columns are kept.
 
-    Rows without an id are dropped; of rows that share an id, one is kept.
+    Of rows that share an id, one is kept. Rows without an id cannot be told
+    apart in the result of the search, so they all stay.
     """
     found = wide_duplicates(docs, id_col, text)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = cut(first.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")))
-    out = docs.join(kept.filter(F.col("_id").isNotNull()), docs[id_col] == kept["_id"])
-    once = out.filter(F.col("_n") == 1).select(*docs.columns)
-    again = out.filter(F.col("_n") > 1).dropDuplicates(["_id"]).select(*docs.columns)
-    return once.unionByName(again)
+    first = found.filter(F.col(id_col) == F.col("component_id"))
+    kept = cut(first.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_kept_n")))
+    out = docs.join(kept, docs[id_col] == kept["_kept_id"])
+    once = out.filter(F.col("_kept_n") == 1).select(*docs.columns)
+    again = out.filter(F.col("_kept_n") > 1).dropDuplicates(["_kept_id"]).select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.filter(F.col(id_col).isNull()))
