@@ -28,9 +28,14 @@ def explode_windows(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     return out.select(*keep, "n_windows", "idx", "w.start", "w.end", F.col("w.text").alias("window_text"))
 
 
-def position_hint(source: Column, notes: Column) -> Column:
-    """The second part of notes, between slashes, for sources whose texts hold one spliced passage; else empty."""
-    return F.when(source.isin(*SPARSE_SOURCES), F.coalesce(F.try_element_at(F.split(notes, "/"), F.lit(2)), F.lit(""))).otherwise("")
+def position_hint(source: Column, notes: Column, strict: bool = False) -> Column:
+    """The second part of notes, between slashes, for sources whose texts hold one spliced passage; else empty.
+
+    What a later entry added behind a bar does not belong to it, unless strict.
+    """
+    part = F.coalesce(F.try_element_at(F.split(notes, "/"), F.lit(2)), F.lit(""))
+    part = part if strict else F.regexp_replace(part, r" *\|.*", "")
+    return F.when(source.isin(*SPARSE_SOURCES), part).otherwise("")
 
 
 def hint_index(hint: Column, count: Column) -> Column:
