@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running, sliced
+
 PAD, LONGEST, BATCH, BASE = 32, 768, 32, 256
 
 
@@ -66,13 +68,13 @@ def token_batches(rows: DataFrame, length: str, key: str, batch: int = BATCH, bu
     """rows with bucket and batch numbers: ascending by length, at most `batch` rows and `budget` padded tokens a batch.
 
     Within a bucket (one padded length) all rows pad alike, so how many fit is
-    known and row numbers give the batches; each bucket is a range of its own.
+    known and row numbers give the batches. Keys are integers.
     """
     budget = budget or batch * BASE
     rows = rows.withColumn("padded", F.greatest(pad_quantize(F.col(length), bucket), F.lit(bucket)))
     fit = F.least(F.lit(batch), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded")).cast("int")))
-    place = F.row_number().over(Window.partitionBy("padded").orderBy(length, key)) - 1
-    return rows.withColumn("batch", F.floor(place / fit).cast("int"))
+    rows = running(rows, ["padded"], [F.col(length), sliced(key)], [length, key], F.lit(1), "_place")
+    return rows.withColumn("batch", F.floor(F.col("_place") / fit).cast("int")).drop("_place")
 
 
 def batch_order(batches: DataFrame, seed: int, epoch: int) -> DataFrame:

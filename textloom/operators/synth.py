@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .order import running, sliced
 
 POSITIONS = ("start", "end", "middle")
 ATTACKS_PER_CONTEXT = 4
@@ -37,10 +38,10 @@ def fill_templates(templates: DataFrame, combos: DataFrame, slots: list[str], te
 
 
 def distinct_union(*frames: DataFrame, value: str = "text", order: str = "ordinal") -> DataFrame:
-    """All values, each where it first occurs, numbered in order from 0 (idx)."""
+    """All values, each where it first occurs, numbered in order from 0 (idx). Orders are integers."""
     rows = reduce(DataFrame.unionByName, [f.select(F.col(value), F.lit(i).alias("frame"), F.col(order).alias("ordinal")) for i, f in enumerate(frames)])
-    first = rows.groupBy(value).agg(F.min(F.struct("frame", "ordinal")).alias("at"))
-    return first.select(value, (F.row_number().over(Window.partitionBy().orderBy("at")) - 1).alias("idx"))
+    first = rows.groupBy(value).agg(F.min(F.struct("frame", "ordinal")).alias("at")).select(value, "at.frame", "at.ordinal")
+    return running(first, [], [F.col("frame"), sliced("ordinal")], ["frame", "ordinal"], F.lit(1), "idx").select(value, "idx")
 
 
 def boundaries(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.corpus import Adapter
+from ..operators.order import running, sliced
 
 # Categories of attack texts by what their instruction is.
 MALICIOUS_CATEGORIES = (
@@ -52,10 +53,8 @@ def llmail(raw: DataFrame) -> DataFrame:
 
 def llmail_pages(raw: DataFrame, accepted: str = "accepted", page: str = "page", cap: int = LLMAIL_CAP) -> DataFrame:
     """Pages of which the accepted rows before are below the cap: a page is taken whole."""
-    from pyspark.sql import Window
-
-    per = raw.groupBy(page).agg(F.sum(F.col(accepted).cast("int")).alias("n"))
-    before = per.select(page, F.coalesce(F.sum("n").over(Window.partitionBy().orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each page
+    per = raw.groupBy(page).agg(F.sum(F.col(accepted).cast("int")).alias("_n"))
+    before = running(per, [], [sliced(page)], [page], F.col("_n"), "_before")
     return raw.join(before.filter(F.col("_before") < cap).select(page), page, "left_semi")
 
 
