@@ -23,6 +23,8 @@ PAGES = [
     ("<main><p>text, of some length</p><script>var t='<p>no</p>';</script><style>p{}</style><form><input><button>Go</button></form><!-- <p>no</p> --><p hidden>no</p><div style='display: none'>no</div></main>", "text, of some length"),
     ("<article><p>cut off in the mid", "cut off in the mid"),
     ("<article><p>cut &lt;in&gt; a tag</p><p cla", "cut <in> a tag"),
+    ("<div class='page has-sidebar no-comments'><div class=post-header><h1>Head</h1></div><div class=post-content><p>Text of it, with a comma.</p></div><div id=comments><article class=comment-body><p>me, too, I say, yes, yes, yes</p></article></div><div id=sidebar><p>side</p></div></div>", "Head\nText of it, with a comma."),
+    ("<main class='layout-sidebar'><article class=main-text><p>a</p></article><article class='related teaser'><p>b</p></article></main>", "a"),
     ("<div class=cookieNotice><p>We use cookies, many, many cookies, really, a lot of them, yes.</p></div><div><p>The text.</p></div>", "The text."),
 ]
 

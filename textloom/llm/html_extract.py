@@ -37,8 +37,13 @@ CLOSES = {
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "form"}
 #: Words of class and id that mark what is not the article.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus disclaimer footer footnav form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion register related reply replies respond share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
+    "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus disclaimer footer footnav form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion register related remark remarks reply replies respond search share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+#: Marks that other words of the same name take back: a page's layout, or the head of the article itself.
+LAYOUT = frozenset("has with no without layout page wrapper hide hidden".split())
+TAKEN_BACK = {"header": LAYOUT | frozenset("article entry post story content title".split())} | dict.fromkeys(("sidebar", "nav", "navbar", "comments", "comment", "footer", "ads", "banner", "widget", "widgets", "modal"), LAYOUT)
+#: The only marks that count for <article> and <main>: these are not the article but stand in one's place.
+ARTICLE_MARKS = frozenset("comment comments reply replies respond related teaser promo sponsored advert advertisement".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
@@ -60,9 +65,12 @@ def is_marked(tag: str, attributes: str) -> bool:
     """Whether an element's attributes say that it is not article text."""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if not MARKS.isdisjoint(WORD.findall(CAMEL.sub(" ", unescape(value)).lower())):
-                return True
+        if name in ("class", "id") and tag not in ("html", "body"):
+            for one in unescape(value).split():
+                words = set(WORD.findall(CAMEL.sub(" ", one).lower()))
+                marks = words & (ARTICLE_MARKS if tag in ("article", "main") else MARKS)
+                if any(words.isdisjoint(TAKEN_BACK.get(m, ())) for m in marks):
+                    return True
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             return True
     return False
@@ -215,11 +223,19 @@ def extract(html: str) -> str:
     keep = {id(wide or best)}
     if wide is None and best.parent is not None:
         least = max(10.0, 0.2 * best.points)
+        titles: dict[int, int] = {}  # characters of headings in each sibling
+        for x in nodes:
+            if x.tag in HEADINGS and not x.gone:
+                up = x
+                while up is not None and up.parent is not best.parent:
+                    up = up.parent
+                if up is not None:
+                    titles[id(up)] = titles.get(id(up), 0) + total[id(x)][0]
         for x in nodes:
             if x.parent is best.parent and x is not best and not x.gone:
                 chars, linked, _ = total[id(x)]
                 prose = x.tag == "p" and density(x) < 0.25 and chars > 80
-                if x.points >= least or prose or x.tag in HEADINGS:
+                if x.points >= least or prose or chars and titles.get(id(x), 0) == chars:
                     keep.add(id(x))
     #: Lists and boxes inside the article that are little but links.
     menus = {id(x) for x in nodes if not x.gone and x.tag in ("ul", "ol", "div", "section", "table", "dl") and id(x) not in keep and total[id(x)][2] >= 3 and density(x) > 0.6}
