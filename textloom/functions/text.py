@@ -6,6 +6,8 @@ Unicode's, as the patterns below spell out for Java.
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,8 +49,15 @@ LANGUAGE_CODES = {
 LATIN_CODES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "cs")
 
 
-def quoted(words: tuple[str, ...]) -> str:
-    return "|".join(rf"\Q{w}\E" for w in words)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it occurs."""
+    return F.transform(F.array(value), use)[0]
+
+
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the lower-cased text holds one of the words anywhere. A word that holds another one adds nothing."""
+    least = [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)]
+    return let(F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in least]))
 
 
 def normal_form(form: str):
@@ -89,11 +98,6 @@ def hash_bucket(text: Column, modulo: int) -> Column:
     return F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("bigint") % modulo
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it occurs."""
-    return F.transform(F.array(value), use)[0]
-
-
 def word_hits(words: Column, which: str) -> Column:
     """How many of an array of lower-case words are among those given."""
     return F.size(F.filter(words, lambda w: w.isin(*which.split("|"))))
@@ -114,11 +118,11 @@ def guess_lang(text: Column) -> Column:
 
 
 def is_fp_hard(text: Column) -> Column:
-    return F.lower(text).rlike(quoted(FP_HARD_WORDS))
+    return holds_any(text, FP_HARD_WORDS)
 
 
 def baseline_predict(text: Column) -> Column:
-    return F.when(F.lower(text).rlike(quoted(BASELINE_MARKERS)), "injection").otherwise("benign")
+    return F.when(holds_any(text, BASELINE_MARKERS), "injection").otherwise("benign")
 
 
 def pre_tokenize(text: Column, nfkc: bool = True) -> Column:

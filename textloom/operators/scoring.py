@@ -20,14 +20,16 @@ def last_predictions(rows: DataFrame, threshold: float = SCORE_THRESHOLD) -> Dat
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ordinal")))).filter("_r = 1").select("id", "pred")
 
 
-def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """tp, fp, tn, fn, missing, precision, recall, f1, fp_rate, fp_hard_rate over (label, pred, fp_hard); rates are 0 where their base is."""
+def confusion(rows: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """tp, fp, tn, fn, missing, precision, recall, f1, fp_rate, fp_hard_rate over (label, pred, fp_hard); rates are 0 where their base is.
+
+    With a weight each row counts that often.
+    """
     inj, hit, there = F.col("label") == "injection", F.col("pred") == "injection", F.col("pred").isNotNull()
     hard = there & ~inj & F.col("fp_hard")
-    out = rows.groupBy(*(by or [])).agg(
-        F.count_if(inj & hit).alias("tp"), F.count_if(~inj & hit).alias("fp"), F.count_if(~inj & there & ~hit).alias("tn"), F.count_if(inj & there & ~hit).alias("fn"),
-        F.count_if(~there).alias("missing"), F.count_if(hard).alias("fp_hard_total"), F.count_if(hard & hit).alias("fp_hard_fp"),
-    )
+    cases = {"tp": inj & hit, "fp": ~inj & hit, "tn": ~inj & there & ~hit, "fn": inj & there & ~hit, "missing": ~there, "fp_hard_total": hard, "fp_hard_fp": hard & hit}
+    count = F.count_if if weight is None else lambda c: F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0)).cast("bigint")
+    out = rows.groupBy(*(by or [])).agg(*[count(c).alias(k) for k, c in cases.items()])
     tp, fp, tn, fn = map(F.col, ("tp", "fp", "tn", "fn"))
     # 2PR / (P + R) is 2 tp / (2 tp + fp + fn)
     return out.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "fp_rate": ratio(fp, fp + tn), "fp_hard_rate": ratio(F.col("fp_hard_fp"), F.col("fp_hard_total"))})
@@ -41,10 +43,12 @@ def lang_recall(rows: DataFrame, least: int = MIN_LANG_POS) -> DataFrame:
 
 
 def sweep(scored: DataFrame, points: tuple[float, ...] = SWEEP) -> DataFrame:
-    """The confusion table of (label, fp_hard, doc_score) at each threshold. Scores are summed up by value first, so rows are read once."""
-    grid = scored.sparkSession.createDataFrame([(float(p),) for p in points], "thr double")
-    each = scored.select("label", "fp_hard", "doc_score").crossJoin(F.broadcast(grid))  # a few thresholds
-    return confusion(each.withColumn("pred", F.when(F.col("doc_score") >= F.col("thr"), "injection").otherwise("benign")), ["thr"])
+    """The confusion table of (label, fp_hard, doc_score) at each threshold. Rows are counted by how many thresholds they reach first, so each goes through once."""
+    reached = sum((F.when(F.col("doc_score") >= p, 1).otherwise(0) for p in points), F.lit(0))
+    each = scored.groupBy("label", "fp_hard", reached.alias("reached")).agg(F.count("*").alias("n"))
+    grid = scored.sparkSession.createDataFrame([(float(p), sum(q <= p for q in points)) for p in points], "thr double, place int")
+    each = each.crossJoin(F.broadcast(grid))  # a few rows of counts, a few thresholds
+    return confusion(each.withColumn("pred", F.when(F.col("reached") >= F.col("place"), "injection").otherwise("benign")), ["thr"], "n")
 
 
 def best_threshold(swept: DataFrame) -> DataFrame:

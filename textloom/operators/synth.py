@@ -46,18 +46,18 @@ def distinct_union(*frames: DataFrame, value: str = "text", order: str = "ordina
 
 def boundaries(text: Column) -> Column:
     """Places (numbers of characters) after each end of a sentence and the space behind it."""
-    parts = F.split(text, rf"{T.UNICODE}(?<=[.!?]{T.SPACE})(?!{T.SPACE})|(?<=[.!?]{T.SPACE}{{2}})(?!{T.SPACE})|(?<=[.!?]{T.SPACE}{{3,9}})(?!{T.SPACE})")
-    ends = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))))
-    # text that ends in a boundary has one at its end
-    return F.when(text.rlike(rf"{T.UNICODE}[.!?]{T.SPACE}+\z"), F.array_union(ends, F.array(F.length(text)))).otherwise(ends)
+    # pieces up to and with each end, one right after the other, so what follows the last end is looked at once
+    ends = F.regexp_extract_all(text, F.lit(rf"{T.UNICODE}(?s)\G.*?[.!?]{T.SPACE}+"), F.lit(0))
+    start = F.aggregate(ends, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.array_append(acc["all"], acc["at"] + F.length(x)).alias("all")))
+    return start["all"]
 
 
 def splice(context: Column, attack: Column, position: Column) -> Column:
     """The attack before the text, behind it, or after a sentence chosen by hash; behind it if there is none."""
     end = F.concat(context, F.lit("\n"), attack)
-    cuts = boundaries(context)
-    cut = F.element_at(cuts, (T.hash_bucket(F.concat(context, attack), 1 << 32) % F.greatest(F.size(cuts), F.lit(1)) + 1).cast("int"))
-    middle = F.when(F.size(cuts) == 0, end).otherwise(F.concat(F.substr(context, F.lit(1), cut), attack, F.lit("\n"), F.substr(context, cut + 1)))
+    pick = lambda cuts: F.element_at(cuts, (T.hash_bucket(F.concat(context, attack), 1 << 32) % F.size(cuts) + 1).cast("int"))
+    cut = T.let(boundaries(context), lambda cuts: F.when(F.size(cuts) > 0, pick(cuts)).otherwise(F.lit(-1)))
+    middle = T.let(cut, lambda at: F.when(at < 0, end).otherwise(F.concat(F.substr(context, F.lit(1), at), attack, F.lit("\n"), F.substr(context, at + 1))))
     return F.when(position == "start", F.concat(attack, F.lit("\n"), context)).when(position == "end", end).otherwise(middle)
 
 
