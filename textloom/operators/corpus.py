@@ -130,6 +130,11 @@ def hash_sample(rows: DataFrame, keep: int, modulo: int, text: str = "text") ->
     return rows.filter(T.hash_bucket(F.col(text), modulo) < keep)
 
 
+def bounded_sample(rows: DataFrame, most: int, seed: int, *keys: str) -> DataFrame:
+    """`most` rows, the same ones for the same seed: those with the smallest hash of their keys."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(most)
+
+
 def budgeted(rows: DataFrame, hard: Column, order: str, plain_most: int, hard_most: int, modulo: int) -> DataFrame:
     """The first hard rows and the first plain ones of one hash bucket, up to a budget each."""
     rows = rows.withColumn("is_hard", hard)
