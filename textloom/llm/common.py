@@ -50,6 +50,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def publish(store, temp: str, final: str) -> None:
+    """Gives a whole file its name. Where a task ran twice the file may be there already, with the same bytes."""
+    try:
+        store.move(temp, final)
+    except OSError:
+        if not store.get_file_info(final).is_file:
+            raise
+        store.delete_file(temp)
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is computed once for each row, however often it is used: no rule of the optimizer copies an expression through a generator."""
     return df.select("*", F.explode(F.array(value)).alias(name))

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells, scratch
+from .common import cells, publish, scratch
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Stand-ins for the end and the beginning of a text; no word holds white space.
@@ -67,7 +67,7 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
         f.write(len(head).to_bytes(8, "little") + head)
         for v in arrays.values():
             f.write(np.ascontiguousarray(v).tobytes() + bytes(-v.nbytes % 8))
-    store.move(temp, f"{base}/{name}")
+    publish(store, temp, f"{base}/{name}")
 
 
 def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:

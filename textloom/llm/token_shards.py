@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cells, cut, scratch
+from .common import cells, cut, publish, scratch
 from .token_count import load
 
 #: Tokens of a sequence, and bytes of a token id.
@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str | None = None, key: i
             nonlocal sink
             if sink is not None:
                 sink.close()
-                store.move(temp, f"{base}/{name(open_shard)}")
+                publish(store, temp, f"{base}/{name(open_shard)}")
                 sink = None
 
         for batch in batches:
