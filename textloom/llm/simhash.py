@@ -37,7 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, texts_of
@@ -241,6 +241,17 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return links.distinct()
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links that join the same, with one from each node to its smallest partner and from its other partners to that one.
+
+    A node of a large group has a link from each tree; these mostly meet in few
+    small ids, so what remains is about a link for each node. A node has as many
+    links as there are trees at most.
+    """
+    least = links.distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return least.select("a", F.col("m").alias("b")).unionByName(least.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """fp and component (the smallest id reachable) of the nodes (fp, id) that have links (a, b)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -302,8 +313,10 @@ def wide_masks(rows: int) -> list[tuple[int, int]]:
 
 
 def wide_links(ids: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of ids that join a shard's rows as all pairs within the radius would; what has been found leaves the search."""
+    """Links of ids, each to a smaller one, that join a shard's rows as all pairs within the radius would; what has been found leaves the search."""
     froms, tos = [], []
+    order = np.argsort(ids, kind="stable")
+    ids, a, b = ids[order], a[order], b[order]
     while len(ids) > 1:
         root, queue = ids[0], [(a[0], b[0])]
         ids, a, b = ids[1:], a[1:], b[1:]
@@ -332,7 +345,8 @@ def wide_searched(shards: DataFrame, radius: int) -> DataFrame:
             # most shards are pairs by chance: these are compared all at once
             two = edges[ends - edges == 2]
             near = np.bitwise_count(part["x"][two] ^ part["x"][two + 1]) + np.bitwise_count(part["y"][two] ^ part["y"][two + 1]) <= radius
-            found.append((part["id"][two][near], part["id"][two + 1][near]))
+            pair = part["id"][two][near], part["id"][two + 1][near]
+            found.append((np.maximum(*pair), np.minimum(*pair)))
             for p, q in zip(edges[more].tolist(), ends[more].tolist()):
                 if q - p > 2:
                     found.append(wide_links(part["id"][p:q], part["x"][p:q], part["y"][p:q], radius))
@@ -375,7 +389,7 @@ def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     trees = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(q).alias("q")) for t, (p, q) in enumerate(wide_masks(known.count()))])
     each = known.select("id", "x", "y", F.explode(trees).alias("m"))
     each = each.select("id", "x", "y", F.xxhash64("m.t", F.col("x").bitwiseAND(F.col("m.p")), F.col("y").bitwiseAND(F.col("m.q"))).alias("key"))
-    links = cut(wide_searched(each.repartition("key").sortWithinPartitions("key"), radius)).distinct()
+    links = contracted(cut(contracted(cut(wide_searched(each.repartition("key").sortWithinPartitions("key"), radius)))))
     found = components(known.select(F.col("id").alias("fp"), "id"), links)
     of = nodes.join(found, nodes["id"] == found["fp"], "left").select("x", "y", F.coalesce("component", "id").alias("component_id"))
     return fps.join(of, ["x", "y"]).select(F.col("id").alias(id_col), "component_id")
