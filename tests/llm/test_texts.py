@@ -128,12 +128,21 @@ def test_curriculum(spark):
     for r in got:
         where["ab"[r.doc_id % 2]] += r.positions
     assert min(where["b"]) >= 0.5 and min(where["a"]) < 0.02 and sum(p < 0.5 for p in where["a"]) > 0.6 * len(where["a"])
-    ordered = mixing.training_order(df, mixing.mix(df, phases=phases))
+    ordered = mixing.training_order(df, phases=phases)
     assert ordered.count() == sum(r.copies for r in got)
     p = [r.position for r in ordered.collect()]
     assert p == sorted(p)
 
 
+def test_training_order_of_repeated_rows(spark):
+    rows = [(None if i % 3 else i % 6, "a b c" if i % 2 else f"w{i} x", "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.training_order(df)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(rows_ := [r[:2] for r in rows]) and len(rows_) == 60
+    docs = cases.documents(spark)
+    assert mixing.training_order(docs).columns == [c for c in docs.columns if c != "position"] + ["position"]
+
+
 def test_mix_cases(spark):
     docs = cases.documents(spark)
     got = mixing.mix(docs)

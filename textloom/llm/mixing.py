@@ -121,9 +121,22 @@ def mix(docs: DataFrame, size: Column | None = None, phases: tuple = ((1.0, CYCL
     return rows.select(*keep, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
 
 
-def training_order(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, range-sorted by position. The column position is added (and replaced where docs has one)."""
-    placed = mixed.select(F.col(key).alias("_key"), F.explode("positions").alias("position"))
-    kept = docs.drop("position")
-    out = kept.join(placed, kept[key].eqNullSafe(placed["_key"])).drop("_key")
+def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, range-sorted by position; `how` are arguments of mix().
+
+    The column position is added (and replaced where docs has one). Rows that
+    share an id, null included, are told apart by their text and source; those
+    that agree in these too are paired with the mix's rows one to one.
+    """
+    docs = docs.drop("position")
+    own = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull(), text, "source")
+    rows = docs.withColumn("_row_key", own)
+    mixed = cut(mix(rows, keep=("_row_key",), **how).filter("copies > 0 or size = 0").select("_row_key", "positions"))
+    same = ["_row_key"]
+    if not mixed.groupBy("_row_key").count().filter("count > 1").isEmpty():
+        same.append("_nth")
+        number = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
+        rows, mixed = rows.withColumn("_nth", number), mixed.withColumn("_nth", number)
+    placed = mixed.select(*same, F.explode("positions").alias("position"))
+    out = rows.join(placed, same).drop("_row_key", "_nth")
     return out.repartitionByRange(F.col("position"), F.col(key)).sortWithinPartitions("position", key)
