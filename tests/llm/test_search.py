@@ -106,6 +106,41 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(cases.empty(spark)).count() == 0
 
 
+def shingles_of(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"x{rng.randrange(10**9)}"
+    return out
+
+
+def pairs_of(rng, shapes, each):
+    """Texts of which 2k and 2k + 1 are a pair, with the similarity of each pair."""
+    texts, found = [], []
+    for size, edits in shapes:
+        for _ in range(each):
+            own = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+            texts += [" ".join(own), " ".join(edited(rng, own, edits))]
+            a, b = map(shingles_of, texts[-2:])
+            found.append(len(a & b) / len(a | b))
+    return texts, found
+
+
+def kept_ids(spark, texts):
+    return {r.i for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "i").collect()}
+
+
+def test_every_pair_of_similar_texts_is_found(spark):
+    texts, found = pairs_of(random.Random(1), [(300, 6), (300, 5), (1000, 20), (100, 2), (40, 1)], 40)
+    kept = kept_ids(spark, texts)
+    assert sum(x >= 0.8 for x in found) > 100
+    assert [k for k, x in enumerate(found) if x >= 0.8 and 2 * k + 1 in kept] == []
+
+
 def vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]

@@ -21,12 +21,15 @@ smallest id, with a jump along labels in each round.
 
 Only distinct fingerprints take part, so exact copies are one row here.
 
-The wide search is for copies with more edits: two texts whose shingle sets
-have a similarity of 0.8 differ in some 15 % of the bits. It takes 128 bits and
-trees on sampled bits instead of all pairs of blocks: such a pair is at distance
-0 in a tree of k bits with probability 0.85 ** k, so enough trees are taken that
-it is missed by all of them in one case of twenty. What a shard shows is still
-compared by the whole distance.
+The wide search is for copies with more edits: texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 at least. Fingerprints only estimate
+that, so it works on the sets: a set of n shingles sorted by one order of all
+shingles (rare ones first) shares one of its first n - ceil(0.8 n) + 1 with each
+set that is so similar. These shingles are the shards; what meets in one and can
+be similar by size and place is a candidate, and the sets of candidates are
+compared whole. No similar pair is missed and no other is linked. A shard with
+too many pairs is first joined by a pivot and by neighbours in size, and only
+pairs of different groups are looked at after that.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, texts_of
@@ -241,17 +244,6 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return links.distinct()
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """Links that join the same, with one from each node to its smallest partner and from its other partners to that one.
-
-    A node of a large group has a link from each tree; these mostly meet in few
-    small ids, so what remains is about a link for each node. A node has as many
-    links as there are trees at most.
-    """
-    least = links.distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    return least.select("a", F.col("m").alias("b")).unionByName(least.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-
-
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """fp and component (the smallest id reachable) of the nodes (fp, id) that have links (a, b)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -296,103 +288,241 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Wide search: words of a shingle, the part of the bits in which texts of similarity 0.8 differ, and the misses that are accepted.
-WIDE_WORDS, WIDE_SHARE, WIDE_MISSES = 5, 0.152, 0.05
-MIX = 0xD6E8FEB86659FD93
+#: Wide search: words of a shingle, the similarity of shingle sets from which texts are copies (as a fraction), and the
+#: documents sampled and the shingles listed for the order of shingles, which bears on cost only, not on what is found.
+WIDE_WORDS, SIMILAR, SAMPLE, COMMON = 5, (4, 5), 10_000, 100_000
+#: A shard with more pairs than this for each member is searched by pivots first, in so many turns at most.
+PAIRS, TURNS = 16, 4
+#: Ids of candidates that are broadcast at most; beyond, their texts are found by a shuffled join.
+NEEDED = 500_000
+#: Links that are joined in one task at most; more are joined in rounds.
+LINKS = 500_000
 
 
-def wide_masks(rows: int) -> list[tuple[int, int]]:
-    """Sampled bits of 128, as two masks, for each tree. Shards keep some 64 rows at most by chance, so a tree's bits grow with the rows."""
-    k = max(18, int(np.ceil(np.log2(max(rows, 2)))) - 6)
-    trees = int(np.ceil(np.log(WIDE_MISSES) / np.log(1 - (1 - WIDE_SHARE) ** k)))
-    out = []
-    for t in range(trees):
-        bits = np.random.default_rng(t).choice(128, min(k, 128), replace=False).tolist()
-        out.append((signed(sum(1 << b for b in bits if b < 64)), signed(sum(1 << b - 64 for b in bits if b >= 64))))
-    return out
+def shingle_set(text: str, words: int = WIDE_WORDS) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
-def wide_links(ids: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of ids, each to a smaller one, that join a shard's rows as all pairs within the radius would; what has been found leaves the search."""
-    froms, tos = [], []
-    order = np.argsort(ids, kind="stable")
-    ids, a, b = ids[order], a[order], b[order]
-    while len(ids) > 1:
-        root, queue = ids[0], [(a[0], b[0])]
-        ids, a, b = ids[1:], a[1:], b[1:]
-        while queue and len(ids):
-            x, y = queue.pop()
-            near = np.bitwise_count(a ^ x) + np.bitwise_count(b ^ y) <= radius
-            if near.any():
-                froms.append(ids[near])
-                tos.append(np.full(len(froms[-1]), root))
-                queue.extend(zip(a[near], b[near]))
-                ids, a, b = ids[~near], a[~near], b[~near]
-    none = np.empty(0, np.int64)
-    return (np.concatenate(froms), np.concatenate(tos)) if froms else (none, none)
-
-
-def wide_searched(shards: DataFrame, radius: int) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of SIMILAR at least; in whole numbers."""
+    top, of = SIMILAR
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return (top + of) * common >= top * (len(a) + len(b))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles, the rarest first: two similar sets share one of them."""
+    top, of = SIMILAR
+    rank = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, counts[at], 0)
+    return own[np.lexsort((own, rank))[: len(own) + (-top * len(own) // of) + 1]] if len(own) else own
+
+
+def common_shingles(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that recur in a sample of the texts, and how often; COMMON at most."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(x, words) for x in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64), pa.int64())], names=["token"])
+
+    every = max(1, source.count() // SAMPLE)
+    part = source.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
+    counted = map_batches(part, run, "token bigint", rows=500).groupBy("token").agg(F.count("*").alias("n"))
+    found = counted.filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    tokens, counts = (found.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens.view(np.uint64)[order], counts[order]
+
+
+def possible(n: np.ndarray, pos: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of the others that by size and by what is left behind this shingle can be similar to member i, if it is their first common one."""
+    top, of = SIMILAR
+    low, high = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
+    room = np.minimum(n[i] - pos[i], n[others] - pos[others])
+    return others[(of * low >= top * high) & ((top + of) * room >= top * (n[i] + n[others]))]
+
+
+def shard_pairs(part: dict[str, np.ndarray], turn: int) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], bool]:
+    """Pairs of a shard's members in different groups that can be similar, and whether these are all of them.
+
+    Where there are too many, members are compared with one pivot and, from
+    the second turn on, with their neighbours by size: a large group of copies is joined by these, and
+    what is left between groups is looked at in a later turn.
+    """
+    ids, n, pos, group = part["id"], part["at"] >> 32, part["at"] & 0xFFFFFFFF, part.get("comp", part["id"])
+    _, own, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    m = len(ids)
+    whole = turn == TURNS - 1 or m * m - int((sizes.astype(np.int64) ** 2).sum()) <= 2 * PAIRS * m
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(sizes) == 1:
+            return
+        if whole:
+            # all but the largest group against those after them and against the largest one
+            order = np.argsort(own == np.argmax(sizes), kind="stable")
+            for k in range(m - int(sizes.max())):
+                i, others = order[k], order[k + 1 :]
+                others = possible(n, pos, i, others[own[others] != own[i]])
+                yield np.full(len(others), ids[i]), ids[others]
+        else:
+            mixed = (ids.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+            i = int(np.argmin(mixed ^ mixed >> np.uint64(32))) if turn else int(np.argmin(ids))
+            others = possible(n, pos, i, np.flatnonzero(own != own[i]))
+            yield np.full(len(others), ids[i]), ids[others]
+            if turn:
+                order = np.lexsort((ids, n))
+                apart = own[order[1:]] != own[order[:-1]]
+                yield ids[order[1:]][apart], ids[order[:-1]][apart]
+
+    return pairs(), whole
+
+
+def wide_searched(shards: DataFrame, turn: int) -> DataFrame:
+    """a, b (a pair to compare; or b null and a a member of a shard that needs another turn, with its token and at) of rows sorted by token."""
+    kinds = {"a": pa.int64(), "b": pa.int64(), "token": pa.int64(), "at": pa.int64()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
 
-        def links(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key = part["key"]
-            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            ends = np.append(edges[1:], len(key))
+        def batch_of(columns: dict, rows: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in kinds.items()], names=list(kinds))
+
+        def paired(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            x, y = (np.concatenate(z) for z in zip(*found))
+            x, y = x[x != y], y[x != y]
+            both = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y))), axis=1)
+            return batch_of({"a": both[0], "b": both[1]}, both.shape[1])
+
+        def searched(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token = part["token"]
+            edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            ends = np.append(edges[1:], len(token))
             more = ends - edges > 1
-            found = []
-            # most shards are pairs by chance: these are compared all at once
-            two = edges[ends - edges == 2]
-            near = np.bitwise_count(part["x"][two] ^ part["x"][two + 1]) + np.bitwise_count(part["y"][two] ^ part["y"][two + 1]) <= radius
-            pair = part["id"][two][near], part["id"][two + 1][near]
-            found.append((np.maximum(*pair), np.minimum(*pair)))
+            found, some = [], 0
             for p, q in zip(edges[more].tolist(), ends[more].tolist()):
-                if q - p > 2:
-                    found.append(wide_links(part["id"][p:q], part["x"][p:q], part["y"][p:q], radius))
-            froms, tos = (np.concatenate(z) for z in zip(*found))
-            if len(froms):
-                yield pa.RecordBatch.from_arrays([pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], names=["a", "b"])
+                shard = {c: v[p:q] for c, v in part.items()}
+                pairs, whole = shard_pairs(shard, turn)
+                for pair in pairs:
+                    found.append(pair)
+                    some += len(pair[0]) + 1
+                    if some >= 10_000:
+                        yield paired(found)
+                        found, some = [], 0
+                if not whole:
+                    yield batch_of({"a": shard["id"], **{c: shard[c] for c in ("token", "at")}}, q - p)
+            if found:
+                yield paired(found)
 
         for batch in batches:
-            part = {c: batch.column(c).to_numpy() for c in ("key", "id", "x", "y")}
-            part |= {c: part[c].view(np.uint64) for c in ("x", "y")}  # of a signed number, the bits of its absolute value are counted
+            part = {c: batch.column(c).to_numpy() for c in batch.schema.names}
             if rest is not None:
                 part = {c: np.concatenate((rest[c], part[c])) for c in part}
-            if len(part["key"]) == 0:
+            if len(part["token"]) == 0:
                 continue
-            last = int(np.searchsorted(part["key"], part["key"][-1]))  # this shard may go on in the next batch
+            last = int(np.searchsorted(part["token"], part["token"][-1]))  # this shard may go on in the next batch
             rest = {c: v[last:].copy() for c, v in part.items()}
             if last:
-                yield from links({c: v[:last] for c, v in part.items()})
+                yield from searched({c: v[:last] for c, v in part.items()})
         if rest is not None:
-            yield from links(rest)
+            yield from searched(rest)
+
+    return shards.mapInArrow(run, "a bigint, b bigint, token bigint, at bigint")
+
+
+def verified(source: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose texts have similar shingle sets, which are compared whole."""
+    pairs = cut(pairs)
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    few = F.broadcast(needed) if needed.count() <= NEEDED else needed
+
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, words).tobytes() for x in texts_of(batch)], pa.binary())], names=["id", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("p"), batch.column("q"))
+            yield batch.select(["a", "b"]).filter(pa.array([similar(*(np.frombuffer(x.as_py(), np.uint64) for x in pq)) for pq in both], pa.bool_()))
+
+    sets = cut(map_batches(source.join(few, "id", "left_semi").select("id", "text"), sets_of, "id bigint, own binary", rows=500))
+    each = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("p")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("q")), "b")
+    return cut(each.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct())
 
-    return shards.mapInArrow(run, "a bigint, b bigint")
 
+def groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """components of nodes (id) and links of their ids. A bounded number of links is joined in one task, which spares the driver the rounds."""
+    if links.count() > LINKS:
+        return components(nodes.select(F.col("id").alias("fp"), "id").distinct(), links)
 
-def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WIDE_WORDS, radius: int = 20) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            while (above := up.setdefault(i, i)) != i:
+                up[i] = up[above]
+                i = up[i]
+            return i
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        of = [top(i) for i in list(up)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(of, pa.int64())], names=["fp", "component"])
+
+    return cut(links.select("a", "b").coalesce(1).mapInArrow(run, "fp bigint, component bigint"))
+
+
+def wide_links(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Links a, b that join the nodes (id, n, prefix) as all pairs of similar sets would."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
+        many = np.array([len(x) for x in found], np.int64)
+        ids, n = (np.repeat(batch.column(c).to_numpy(), many) for c in ("id", "n"))
+        pos = np.concatenate([np.empty(0, np.int64), *(np.arange(k) for k in many)])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate([np.empty(0, np.int64), *found]), ids, n.astype(np.int64) << 32 | pos)], names=["token", "id", "at"])
+
+    # at: the size of the set and the place of the token in it; short rows, as there are many
+    rows = map_batches(nodes.select("id", "n", "prefix"), run, "token bigint, id bigint, at bigint", rows=500)
+    links = None
+    for turn in range(TURNS):
+        found = cut(wide_searched(rows.repartition("token").sortWithinPartitions("token"), turn))
+        new = verified(source, found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), words)
+        links = new if links is None else links.unionByName(new)
+        later = found.filter(F.col("b").isNull()).select("token", F.col("a").alias("id"), "at")
+        if turn == TURNS - 1 or later.isEmpty():
+            return links
+        of = groups(nodes, links)
+        rows = later.join(of, later["id"] == of["fp"], "left").select("token", "id", "at", F.coalesce("component", "id").alias("comp"))
+
+
+def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WIDE_WORDS) -> DataFrame:
     """id_col and component_id of each row of docs, by the wide search.
 
-    Links join texts whose 128-bit fingerprints differ in at most `radius` bits
-    (20: a similarity of about 0.8 of the shingle sets); see the module for its
-    recall. Cases are those of near_duplicates; ids are integers.
+    Links join texts whose sets of word shingles have a similarity of SIMILAR at
+    least, all of these and no others. Cases are those of near_duplicates; ids
+    are integers.
     """
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    common, counts = common_shingles(source, words)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = fingerprints(texts_of(batch, text), words, (0, MIX))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in found)], names=["id", "x", "y"])
+        from xxhash import xxh3_128_digest
+
+        sets = [shingle_set(x, words) for x in texts_of(batch)]
+        digests = np.frombuffer(b"".join(xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+        prefixes = [prefix(x, common, counts).tobytes() for x in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(digests[:, k], pa.int64()) for k in (0, 1)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary())], names=["id", "x", "y", "n", "prefix"])
 
-    fps = cut(map_batches(docs.select(F.col(id_col).cast("bigint").alias("id"), text), run, "id bigint, x bigint, y bigint", rows=500))
-    nodes = cut(fps.groupBy("x", "y").agg(F.min("id").alias("id")))
+    fps = cut(map_batches(source, run, "id bigint, x bigint, y bigint, n int, prefix binary", rows=500))
+    nodes = cut(fps.groupBy("x", "y").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     known = nodes.filter(F.col("id").isNotNull())
-    trees = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(q).alias("q")) for t, (p, q) in enumerate(wide_masks(known.count()))])
-    each = known.select("id", "x", "y", F.explode(trees).alias("m"))
-    each = each.select("id", "x", "y", F.xxhash64("m.t", F.col("x").bitwiseAND(F.col("m.p")), F.col("y").bitwiseAND(F.col("m.q"))).alias("key"))
-    links = contracted(cut(contracted(cut(wide_searched(each.repartition("key").sortWithinPartitions("key"), radius)))))
-    found = components(known.select(F.col("id").alias("fp"), "id"), links)
+    links = wide_links(source, known, words)
+    found = groups(known, links)
     of = nodes.join(found, nodes["id"] == found["fp"], "left").select("x", "y", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(of, ["x", "y"]).select(F.col("id").alias(id_col), "component_id")
+    return fps.select("id", "x", "y").join(of, ["x", "y"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
