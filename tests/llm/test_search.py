@@ -141,6 +141,13 @@ def test_every_pair_of_similar_texts_is_found(spark):
     assert [k for k, x in enumerate(found) if x >= 0.8 and 2 * k + 1 in kept] == []
 
 
+def test_texts_below_the_similarity_stay(spark):
+    texts, found = pairs_of(random.Random(2), [(300, 8), (300, 10), (1000, 28), (100, 4)], 40)
+    kept = kept_ids(spark, texts)
+    assert max(found) >= 0.7 and sum(0.65 <= x < 0.8 for x in found) > 100
+    assert [k for k, x in enumerate(found) if x < 0.8 and not {2 * k, 2 * k + 1} <= kept] == []
+
+
 def vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
