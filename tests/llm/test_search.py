@@ -148,6 +148,21 @@ def test_texts_below_the_similarity_stay(spark):
     assert [k for k, x in enumerate(found) if x < 0.8 and not {2 * k, 2 * k + 1} <= kept] == []
 
 
+@pytest.mark.parametrize("links", [500_000, 0])
+def test_large_shards_lose_no_link(spark, monkeypatch, links):
+    monkeypatch.setattr(simhash, "PAIRS", 1)  # nearly all shards go through the turns
+    monkeypatch.setattr(simhash, "LINKS", links)
+    rng = random.Random(3)
+    texts = []
+    for size, edits in ((60, 1), (80, 2), (200, 5), (120, 4)):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        texts += [" ".join(edited(rng, own, edits)) for _ in range(25)]
+    sets = [shingles_of(x) for x in texts]
+    want = joined([(a, b) for a in range(100) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], range(100))
+    got = simhash.wide_duplicates(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "i").collect()
+    assert 4 < len(set(want.values())) < 100 and {r.i: r.component_id for r in got} == want
+
+
 def vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
