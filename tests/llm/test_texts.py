@@ -41,6 +41,15 @@ def test_extract_text(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_text_before_an_open_boilerplate_element_stays():
+    pages = {
+        '<p>Alpha beta <span class="share"><div>x</div></span> gamma</p>': "Alpha beta\nx\ngamma",  # the div ends the paragraph and the span in it
+        '<div>Alpha <span class="ad"><div>x</div></span></div>': "Alpha",
+        "<p>Alpha <label>x</p>": "Alpha",
+    }
+    assert {html: html_extract.extract(f"<body><article>{html}</article></body>") for html in pages} == pages
+
+
 def test_extracts_the_article_of_each_page(spark, sf_dir):
     import re
     from html import unescape

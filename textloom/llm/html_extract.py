@@ -86,9 +86,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if run:
             text = " ".join("".join(run).split())
             run.clear()
-            if text and not stack[-1].gone:
+            if text:  # gathered outside of what is gone, though that may be open by now
                 holder = stack[-1]
-                while holder.tag not in BLOCKS and holder.parent is not None:
+                while (holder.gone or holder.tag not in BLOCKS) and holder.parent is not None:
                     holder = holder.parent
                 blocks.append((holder, text))
 
