@@ -201,3 +201,21 @@ def test_the_threshold_stops_early():
 
     got = topk.threshold(np.array([1.0, 2.0, 0.0, -1.0]), -1, v.view(Counted), lists, ids, ids, 5, none)
     assert got[1].tolist() == np.argsort(-(v @ [1.0, 2.0, 0.0, -1.0]), kind="stable")[:5].tolist() and sum(seen) < 2000
+
+
+def test_rows_that_share_an_id(spark):
+    texts = [(5, "one two three four five six seven"), (5, "quite other words stand in this text"), (7, "one two three four five six seven"), (8, "quite other words stand in this text"), (9, "nothing like any of these here"), (None, "nothing like any of these here"), (None, "alone here without an id at all"), (9, "nothing like any of these here")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("_key", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("_nth", F.lit(3))
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (7, 5), (8, 5), (9, 9), (9, 9), (None, 9), (None, None)], key=str)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text[:3]) for r in kept.collect()), key=str) == sorted([(5, "one"), (5, "qui"), (9, "not"), (None, "alo")], key=str)
+
+
+def test_chains_are_joined_in_few_rounds(spark):
+    # ids rise along the chain, the worst case of passing on the smallest one
+    links = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(10_000, 10_001)], "a long, b long")
+    nodes = spark.createDataFrame([(i, i if i != 1500 else None) for i in [*range(3001), 10_000, 10_001]], "fp long, id long")
+    got = {r.fp: r.component for r in simhash.components(nodes, links).collect()}
+    assert set(got.values()) == {0, 10_000} and len(got) == 3003

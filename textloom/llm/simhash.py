@@ -40,10 +40,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, texts_of
+from .common import cut, map_batches, quoted, texts_of, unused
 
 WORDS = 4
 RADIUS = 4
@@ -244,22 +244,36 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return links.distinct()
 
 
+def labels(links: DataFrame) -> DataFrame:
+    """fp and label (the same node for all that are joined) of the nodes that have links (a, b).
+
+    In each round every node goes to the least of itself and its neighbours, by
+    an order that is new in each round, and on to where that one goes; links
+    inside a label go. So rounds grow with the logarithm of a component's size
+    and each has less to do; at last the rounds' steps are put together.
+    """
+    edges, steps = cut(links.select("a", "b").filter("a <> b")), []
+    while not edges.isEmpty():
+        place = lambda c, turn=len(steps): F.struct(F.xxhash64(F.lit(turn), c).alias("at"), F.col(c).alias("fp"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("fp")).agg(F.min(place("b")).alias("near"))
+        up = cut(near.select("fp", F.least(place("fp"), "near")["fp"].alias("to")))
+        up = cut(up.join(up.select(F.col("fp").alias("to"), F.col("to").alias("further")), "to").select("fp", F.col("further").alias("to")))
+        ends = edges.join(up.select(F.col("fp").alias("a"), F.col("to").alias("x")), "a").join(up.select(F.col("fp").alias("b"), F.col("to").alias("y")), "b")
+        edges = cut(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        steps.append(up)
+    if not steps:
+        return edges.select(F.col("a").alias("fp"), F.col("b").alias("label"))
+    found = steps.pop().withColumnRenamed("to", "label")
+    while steps:
+        found = cut(steps.pop().join(found.select(F.col("fp").alias("to"), "label"), "to", "left").select("fp", F.coalesce("label", "to").alias("label")))
+    return found
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """fp and component (the smallest id reachable) of the nodes (fp, id) that have links (a, b)."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both)
-    linked = both.select(F.col("a").alias("fp")).distinct()
-    labels = cut(nodes.join(linked, "fp").select("fp", F.col("id").alias("label"), "id"))
-    while True:
-        mine = labels.select(F.col("fp").alias("b"), F.col("label").alias("near"))
-        best = both.join(mine, "b").groupBy(F.col("a").alias("fp")).agg(F.min("near").alias("near"))
-        moved = labels.join(best, "fp", "left").select("fp", "id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # a jump: the label of the node whose id is my label
-        jump = moved.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        moved = cut(moved.join(jump, "label", "left").select("fp", "id", "old", F.least("label", "further").alias("label")))
-        labels = moved.select("fp", "id", "label")
-        if moved.filter(F.col("old") != F.col("label")).isEmpty():
-            return labels.select("fp", F.col("label").alias("component"))
+    """fp and component (the smallest id of all that are joined) of the nodes (distinct fp, id) that have links (a, b) of their fps. Ids may recur or be null."""
+    of = nodes.join(labels(links), "fp")
+    return of.join(of.groupBy("label").agg(F.min("id").alias("component")), "label").select("fp", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -268,9 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Fingerprints with at most `radius` differing bits are linked; component_id is
     the smallest id reachable. A text without words, null included, has the
     fingerprint 0 and is linked like any other; a text of fewer words than a
-    shingle is one shingle. Repeated rows and ids are rows of one component. A
-    null id stays null and is nobody's component_id unless its group has no
-    other. An empty table gives an empty one; other columns are not read.
+    shingle is one shingle. Rows are told apart by their fingerprints, not by
+    their ids: rows that share an id are returned one by one, each with its own
+    component. A null id stays null and is nobody's component_id unless its group
+    has no other. An empty table gives an empty one; other columns are not read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -279,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kind = dict(docs.dtypes)[id_col]
     fps = cut(map_batches(docs.select(F.col(id_col).alias("id"), text), run, f"id {kind}, fp bigint", rows=500))
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
-    found = components(nodes.filter(F.col("id").isNotNull()), near_links(nodes, radius))
+    found = components(nodes, near_links(nodes, radius))
     of = nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
@@ -450,10 +465,10 @@ def verified(source: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return cut(each.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
-def groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """components of nodes (id) and links of their ids. A bounded number of links is joined in one task, which spares the driver the rounds."""
+def joined(links: DataFrame) -> DataFrame:
+    """labels() of the links. A bounded number of links is joined in one task, which spares the driver the rounds."""
     if links.count() > LINKS:
-        return components(nodes.select(F.col("id").alias("fp"), "id").distinct(), links)
+        return labels(links)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict[int, int] = {}
@@ -469,9 +484,9 @@ def groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
                 a, b = top(a), top(b)
                 up[max(a, b)] = min(a, b)
         of = [top(i) for i in list(up)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(of, pa.int64())], names=["fp", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array(of, pa.int64())], names=["fp", "label"])
 
-    return cut(links.select("a", "b").coalesce(1).mapInArrow(run, "fp bigint, component bigint"))
+    return cut(links.select("a", "b").coalesce(1).mapInArrow(run, "fp bigint, label bigint"))
 
 
 def wide_links(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -494,19 +509,19 @@ def wide_links(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         later = found.filter(F.col("b").isNull()).select("token", F.col("a").alias("id"), "at")
         if turn == TURNS - 1 or later.isEmpty():
             return links
-        of = groups(nodes, links)
-        rows = later.join(of, later["id"] == of["fp"], "left").select("token", "id", "at", F.coalesce("component", "id").alias("comp"))
+        of = joined(links)
+        rows = later.join(of, later["id"] == of["fp"], "left").select("token", "id", "at", F.coalesce("label", "id").alias("comp"))
 
 
-def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WIDE_WORDS) -> DataFrame:
-    """id_col and component_id of each row of docs, by the wide search.
+def row_key(df: DataFrame, id_col: str, text: str) -> Column:
+    """What tells rows apart: a hash of id and text. Rows that agree in it and in their id are taken for repeated ones."""
+    return F.xxhash64(quoted(id_col), quoted(id_col).isNull(), quoted(text))
 
-    Links join texts whose sets of word shingles have a similarity of SIMILAR at
-    least, all of these and no others. Cases are those of near_duplicates; ids
-    are integers.
-    """
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    common, counts = common_shingles(source, words)
+
+def wide_groups(docs: DataFrame, id_col: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """own (id), x and y (digest of its set) of each row; x, y and first (none, own and id) of the set's group: its row with the smallest id, a null id being last."""
+    source = docs.select(row_key(docs, id_col, text).alias("id"), quoted(id_col).cast("bigint").alias("own"), quoted(text).alias("text"))
+    common, counts = common_shingles(source.select("id", "text"), words)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         from xxhash import xxh3_128_digest
@@ -514,27 +529,39 @@ def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         sets = [shingle_set(x, words) for x in texts_of(batch)]
         digests = np.frombuffer(b"".join(xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
         prefixes = [prefix(x, common, counts).tobytes() for x in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(digests[:, k], pa.int64()) for k in (0, 1)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary())], names=["id", "x", "y", "n", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(digests[:, k], pa.int64()) for k in (0, 1)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary())], names=["id", "own", "x", "y", "n", "prefix"])
+
+    fps = cut(map_batches(source, run, "id bigint, own bigint, x bigint, y bigint, n int, prefix binary", rows=500))
+    first = F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id")).alias("first")
+    nodes = cut(fps.groupBy("x", "y").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("id", F.col("first.id")))
+    of = joined(wide_links(source.select("id", "text"), nodes, words))
+    nodes = nodes.join(of, nodes["id"] == of["fp"], "left").select("x", "y", "first", F.coalesce("label", "id").alias("label"))
+    return fps.select("own", "x", "y"), nodes.join(nodes.groupBy("label").agg(F.min("first").alias("best")), "label").select("x", "y", F.col("best").alias("first"))
+
+
+def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WIDE_WORDS) -> DataFrame:
+    """id_col and component_id of each row of docs, by the wide search.
 
-    fps = cut(map_batches(source, run, "id bigint, x bigint, y bigint, n int, prefix binary", rows=500))
-    nodes = cut(fps.groupBy("x", "y").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    known = nodes.filter(F.col("id").isNotNull())
-    links = wide_links(source, known, words)
-    found = groups(known, links)
-    of = nodes.join(found, nodes["id"] == found["fp"], "left").select("x", "y", F.coalesce("component", "id").alias("component_id"))
-    return fps.select("id", "x", "y").join(of, ["x", "y"]).select(F.col("id").alias(id_col), "component_id")
+    Links join texts whose sets of word shingles have a similarity of SIMILAR at
+    least, all of these and no others. Cases are those of near_duplicates; ids
+    are integers.
+    """
+    rows, of = wide_groups(docs, id_col, text, words)
+    return rows.join(of, ["x", "y"]).select(F.col("own").alias(id_col), F.col("first.own").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group that the wide search joins, that with the smallest id; all columns are kept.
 
-    Of rows that share an id, one is kept. Rows without an id cannot be told
-    apart in the result of the search, so they all stay.
+    Rows that share an id are told apart by their text, so two different texts of
+    one id both stay; of rows that agree in both, one is kept. A row without an
+    id stays where no row of its group has one. Texts without words are copies of
+    each other. Columns of docs may have any name.
     """
-    found = wide_duplicates(docs, id_col, text)
-    first = found.filter(F.col(id_col) == F.col("component_id"))
-    kept = cut(first.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_kept_n")))
-    out = docs.join(kept, docs[id_col] == kept["_kept_id"])
-    once = out.filter(F.col("_kept_n") == 1).select(*docs.columns)
-    again = out.filter(F.col("_kept_n") > 1).dropDuplicates(["_kept_id"]).select(*docs.columns)
-    return once.unionByName(again).unionByName(docs.filter(F.col(id_col).isNull()))
+    _, of = wide_groups(docs, id_col, text, WIDE_WORDS)
+    kept = cut(of.select("first.own", "first.id").distinct())
+    key, own, other = (unused(docs, x) for x in ("_key", "_own", "_id"))
+    out = docs.withColumn(key, row_key(docs, id_col, text)).join(kept.select(F.col("id").alias(own), F.col("own").alias(other)), (F.col(key) == F.col(own)) & quoted(id_col).eqNullSafe(F.col(other)))
+    nth = unused(out, "_nth")
+    out = out.withColumn(nth, F.row_number().over(Window.partitionBy(key, quoted(id_col)).orderBy(key))).filter(F.col(nth) == 1)
+    return out.select(*map(quoted, docs.columns))
