@@ -219,3 +219,17 @@ def test_chains_are_joined_in_few_rounds(spark):
     nodes = spark.createDataFrame([(i, i if i != 1500 else None) for i in [*range(3001), 10_000, 10_001]], "fp long, id long")
     got = {r.fp: r.component for r in simhash.components(nodes, links).collect()}
     assert set(got.values()) == {0, 10_000} and len(got) == 3003
+
+
+def test_sketches_never_refuse_a_similar_pair():
+    rng = np.random.default_rng(4)
+    kept = 0
+    for n in [1, 2, 5, 40, 500, 3000]:
+        for share in [0.0, 0.3, 0.7, 0.78, 0.8, 0.85, 0.95, 1.0]:
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            common = max(0, round(share * 2 * n / (1 + share)))
+            b = np.unique(np.concatenate([a[: min(common, n)], rng.integers(0, 2**63, max(0, n - common), dtype=np.uint64)]))
+            open_ = len(simhash.plausible(np.array([len(a), len(b)]), [np.frombuffer(simhash.sketch(x), np.uint64) for x in (a, b)], 0, np.array([1])))
+            assert open_ or not simhash.similar(a, b)
+            kept += open_ and share < 0.75 and n >= 40
+    assert kept == 0

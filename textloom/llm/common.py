@@ -63,6 +63,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df as a table written in the shared folder; its readers read the columns that they need."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def publish(store, temp: str, final: str) -> None:
     """Gives a whole file its name. Where a task ran twice the file may be there already, with the same bytes."""
     try:

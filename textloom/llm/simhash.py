@@ -26,10 +26,11 @@ shingles have a Jaccard similarity of 0.8 at least. Fingerprints only estimate
 that, so it works on the sets: a set of n shingles sorted by one order of all
 shingles (rare ones first) shares one of its first n - ceil(0.8 n) + 1 with each
 set that is so similar. These shingles are the shards; what meets in one and can
-be similar by size and place is a candidate, and the sets of candidates are
-compared whole. No similar pair is missed and no other is linked. A shard with
-too many pairs is first joined by a pivot and by neighbours in size, and only
-pairs of different groups are looked at after that.
+be similar by size and place is a candidate. Candidates whose odd sketches
+differ in more bits than similar sets can differ in members are dropped, and the
+sets of the others are compared whole. No similar pair is missed and no other is
+linked. A shard with too many pairs is first joined by pivots and by neighbours
+in size, and only pairs of different groups are looked at after that.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, quoted, texts_of, unused
+from .common import cut, map_batches, quoted, stored, texts_of, unused
 
 WORDS = 4
 RADIUS = 4
@@ -306,8 +307,8 @@ def fingerprint_hex(fp: Column) -> Column:
 #: Wide search: words of a shingle, the similarity of shingle sets from which texts are copies (as a fraction), and the
 #: documents sampled and the shingles listed for the order of shingles, which bears on cost only, not on what is found.
 WIDE_WORDS, SIMILAR, SAMPLE, COMMON = 5, (4, 5), 10_000, 100_000
-#: A shard with more pairs than this for each member is searched by pivots first, in so many turns at most.
-PAIRS, TURNS = 16, 4
+#: A shard with more pairs than this for each member is searched by pivots first, in so many turns at most, by so many pivots.
+PAIRS, TURNS, PIVOTS = 16, 4, 8
 #: Ids of candidates that are broadcast at most; beyond, their texts are found by a shuffled join.
 NEEDED = 500_000
 #: Links that are joined in one task at most; more are joined in rounds.
@@ -359,37 +360,75 @@ def possible(n: np.ndarray, pos: np.ndarray, i: int, others: np.ndarray) -> np.n
     return others[(of * low >= top * high) & ((top + of) * room >= top * (n[i] + n[others]))]
 
 
-def shard_pairs(part: dict[str, np.ndarray], turn: int) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], bool]:
-    """Pairs of a shard's members in different groups that can be similar, and whether these are all of them.
+def sketch(own: np.ndarray) -> bytes:
+    """Odd sketch of a set: a bit for each class of its hashes by their low bits, set if an odd number is in it.
 
-    Where there are too many, members are compared with one pivot and, from
+    There are two bits or more for each hash. Sketches of two sets differ in no
+    more bits than the sets do in members, also after folding the longer one.
+    """
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(found: np.ndarray, words: int) -> np.ndarray:
+    """A sketch's 64-bit words, folded to so many."""
+    while len(found) > words:
+        found = found[: len(found) // 2] ^ found[len(found) // 2 :]
+    return found
+
+
+def plausible(n: np.ndarray, sketches: list[np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
+    """Those of the others whose sketches leave it open that they are similar to member i."""
+    top, of = SIMILAR
+    keep = np.zeros(len(others), bool)
+    mine = sketches[i]
+    sizes = np.array([len(sketches[j]) for j in others.tolist()], np.int64)
+    for size in np.unique(sizes):
+        here = np.flatnonzero(sizes == size)
+        words = min(int(size), len(mine))
+        for at in range(0, len(here), 4096):
+            some = here[at : at + 4096]
+            apart = np.bitwise_count(np.stack([folded(sketches[j], words) for j in others[some].tolist()]) ^ folded(mine, words)).sum(axis=1, dtype=np.int64)
+            keep[some] = (top + of) * apart <= (of - top) * (n[i] + n[others[some]])
+    return others[keep]
+
+
+def shard_pairs(part: dict, turn: int) -> tuple[Iterator[tuple[int, np.ndarray]], bool]:
+    """Pairs of a shard's members (one of them and others) in different groups that can be similar, and whether these are all of them.
+
+    Where there are too many, members are compared with a few pivots and, from
     the second turn on, with their neighbours by size: a large group of copies is joined by these, and
-    what is left between groups is looked at in a later turn.
+    what is left between groups is looked at in a later turn. From the second
+    turn on members have sketches, and only plausible pairs come out.
     """
-    ids, n, pos, group = part["id"], part["at"] >> 32, part["at"] & 0xFFFFFFFF, part.get("comp", part["id"])
+    ids, n, pos, group, sketches = part["id"], part["at"] >> 32, part["at"] & 0xFFFFFFFF, part.get("comp", part["id"]), part.get("sketch")
     _, own, sizes = np.unique(group, return_inverse=True, return_counts=True)
     m = len(ids)
     whole = turn == TURNS - 1 or m * m - int((sizes.astype(np.int64) ** 2).sum()) <= 2 * PAIRS * m
+    if sketches is not None and len(sizes) > 1:
+        sketches = [np.frombuffer(x, np.uint64) for x in sketches.tolist()]
+
+    def near(i: int, others: np.ndarray) -> tuple[int, np.ndarray]:
+        others = possible(n, pos, i, others[own[others] != own[i]])
+        return i, others if sketches is None else plausible(n, sketches, i, others)
 
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs() -> Iterator[tuple[int, np.ndarray]]:
         if len(sizes) == 1:
             return
         if whole:
             # all but the largest group against those after them and against the largest one
             order = np.argsort(own == np.argmax(sizes), kind="stable")
             for k in range(m - int(sizes.max())):
-                i, others = order[k], order[k + 1 :]
-                others = possible(n, pos, i, others[own[others] != own[i]])
-                yield np.full(len(others), ids[i]), ids[others]
+                yield near(int(order[k]), order[k + 1 :])
+        elif turn == 0:
+            yield near(int(np.argmin(ids)), np.arange(m))
         else:
             mixed = (ids.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-            i = int(np.argmin(mixed ^ mixed >> np.uint64(32))) if turn else int(np.argmin(ids))
-            others = possible(n, pos, i, np.flatnonzero(own != own[i]))
-            yield np.full(len(others), ids[i]), ids[others]
-            if turn:
-                order = np.lexsort((ids, n))
-                apart = own[order[1:]] != own[order[:-1]]
-                yield ids[order[1:]][apart], ids[order[:-1]][apart]
+            for i in np.argsort(mixed ^ mixed >> np.uint64(32), kind="stable")[:PIVOTS].tolist():
+                yield near(i, np.arange(m))
+            order = np.lexsort((ids, n))
+            for i, j in zip(order[1:].tolist(), order[:-1]):
+                yield near(i, np.array([j]))
 
     return pairs(), whole
 
@@ -419,19 +458,20 @@ def wide_searched(shards: DataFrame, turn: int) -> DataFrame:
             for p, q in zip(edges[more].tolist(), ends[more].tolist()):
                 shard = {c: v[p:q] for c, v in part.items()}
                 pairs, whole = shard_pairs(shard, turn)
-                for pair in pairs:
-                    found.append(pair)
-                    some += len(pair[0]) + 1
-                    if some >= 10_000:
-                        yield paired(found)
-                        found, some = [], 0
+                for i, others in pairs:
+                    if len(others):
+                        found.append((np.full(len(others), shard["id"][i]), shard["id"][others]))
+                        some += len(others) + 1
+                        if some >= 10_000:
+                            yield paired(found)
+                            found, some = [], 0
                 if not whole:
                     yield batch_of({"a": shard["id"], **{c: shard[c] for c in ("token", "at")}}, q - p)
             if found:
                 yield paired(found)
 
         for batch in batches:
-            part = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            part = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
             if rest is not None:
                 part = {c: np.concatenate((rest[c], part[c])) for c in part}
             if len(part["token"]) == 0:
@@ -446,23 +486,53 @@ def wide_searched(shards: DataFrame, turn: int) -> DataFrame:
     return shards.mapInArrow(run, "a bigint, b bigint, token bigint, at bigint")
 
 
+def among(df: DataFrame, ids: DataFrame, many: int) -> DataFrame:
+    """The rows of df whose id is one of the distinct ids, of which there are so many."""
+    return df.join(F.broadcast(ids) if many <= NEEDED else ids, "id", "left_semi")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+
+def both_ends(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with the columns of both ends, named p_... and q_..."""
+    for end, name in (("a", "p"), ("b", "q")):
+        pairs = pairs.join(of.select(F.col("id").alias(end), *(F.col(c).alias(f"{name}_{c}") for c in columns)), end)
+    return pairs.select("a", "b", *(f"{name}_{c}" for name in "pq" for c in columns))
+
+
+def sifted(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs whose sketches leave it open that they are similar."""
+    ids = ends_of(pairs)
+    few = cut(among(nodes.select("id", "n", "sketch"), ids, ids.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [batch.column(c).to_numpy().astype(np.int64) for c in ("p_n", "q_n")]
+            both = zip(*(batch.column(c).to_pylist() for c in ("p_sketch", "q_sketch")))
+            keep = [len(plausible(np.array([x, y]), [np.frombuffer(z, np.uint64) for z in pq], 0, np.array([1]))) == 1 for x, y, pq in zip(*n, both)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both_ends(pairs, few, ["n", "sketch"]).mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(source: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Those of the pairs (a, b) of ids whose texts have similar shingle sets, which are compared whole."""
     pairs = cut(pairs)
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = F.broadcast(needed) if needed.count() <= NEEDED else needed
+    ids = ends_of(pairs)
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, words).tobytes() for x in texts_of(batch)], pa.binary())], names=["id", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("p"), batch.column("q"))
+            both = zip(batch.column("p_own"), batch.column("q_own"))
             yield batch.select(["a", "b"]).filter(pa.array([similar(*(np.frombuffer(x.as_py(), np.uint64) for x in pq)) for pq in both], pa.bool_()))
 
-    sets = cut(map_batches(source.join(few, "id", "left_semi").select("id", "text"), sets_of, "id bigint, own binary", rows=500))
-    each = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("p")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("q")), "b")
-    return cut(each.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct())
+    # rows that share an id have one text
+    sets = cut(map_batches(among(source, ids, ids.count()).select("id", "text"), sets_of, "id bigint, own binary", rows=500).dropDuplicates(["id"]))
+    return cut(both_ends(pairs, sets, ["own"]).mapInArrow(run, "a bigint, b bigint").distinct())
 
 
 def joined(links: DataFrame) -> DataFrame:
@@ -490,7 +560,7 @@ def joined(links: DataFrame) -> DataFrame:
 
 
 def wide_links(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Links a, b that join the nodes (id, n, prefix) as all pairs of similar sets would."""
+    """Links a, b that join the nodes (id, n, prefix, sketch) as all pairs of similar sets would."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
@@ -504,13 +574,16 @@ def wide_links(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     links = None
     for turn in range(TURNS):
         found = cut(wide_searched(rows.repartition("token").sortWithinPartitions("token"), turn))
-        new = verified(source, found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), words)
+        pairs = cut(found.filter(F.col("b").isNotNull()).select("a", "b").distinct())
+        new = verified(source, pairs if turn else sifted(nodes, pairs), words)
         links = new if links is None else links.unionByName(new)
         later = found.filter(F.col("b").isNull()).select("token", F.col("a").alias("id"), "at")
         if turn == TURNS - 1 or later.isEmpty():
             return links
         of = joined(links)
-        rows = later.join(of, later["id"] == of["fp"], "left").select("token", "id", "at", F.coalesce("label", "id").alias("comp"))
+        later = later.join(of, later["id"] == of["fp"], "left").select("token", "id", "at", F.coalesce("label", "id").alias("comp"))
+        ids = cut(later.select("id").distinct())
+        rows = later.join(among(nodes.select("id", "sketch"), ids, ids.count()), "id").select("token", "id", "at", "comp", "sketch")
 
 
 def row_key(df: DataFrame, id_col: str, text: str) -> Column:
@@ -529,11 +602,16 @@ def wide_groups(docs: DataFrame, id_col: str, text: str, words: int) -> tuple[Da
         sets = [shingle_set(x, words) for x in texts_of(batch)]
         digests = np.frombuffer(b"".join(xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
         prefixes = [prefix(x, common, counts).tobytes() for x in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(digests[:, k], pa.int64()) for k in (0, 1)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary())], names=["id", "own", "x", "y", "n", "prefix"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *(pa.array(digests[:, k], pa.int64()) for k in (0, 1)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary()), pa.array(map(sketch, sets), pa.binary())],
+            names=["id", "own", "x", "y", "n", "prefix", "sketch"],
+        )
 
-    fps = cut(map_batches(source, run, "id bigint, own bigint, x bigint, y bigint, n int, prefix binary", rows=500))
+    fps = map_batches(source, run, "id bigint, own bigint, x bigint, y bigint, n int, prefix binary, sketch binary", rows=500)
     first = F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id")).alias("first")
-    nodes = cut(fps.groupBy("x", "y").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("id", F.col("first.id")))
+    nodes = fps.groupBy("x", "y").agg(first, *(F.first(c).alias(c) for c in ("n", "prefix", "sketch"))).withColumn("id", F.col("first.id"))
+    # a table, as most readers need few of its columns
+    nodes = stored(nodes, "nodes")
     of = joined(wide_links(source.select("id", "text"), nodes, words))
     nodes = nodes.join(of, nodes["id"] == of["fp"], "left").select("x", "y", "first", F.coalesce("label", "id").alias("label"))
     return fps.select("own", "x", "y"), nodes.join(nodes.groupBy("label").agg(F.min("first").alias("best")), "label").select("x", "y", F.col("best").alias("first"))
