@@ -166,7 +166,7 @@ def test_large_shards_lose_no_link(spark, monkeypatch, links):
 def vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0] * 7 + [float("nan")]), (302, [None] + [1.0] * 7), (303, [float("inf")] * 8), (304, [0.5] * 3), (350, [0.5] * 3), (100, rows[0][1]), (400, [0.0] * 8), (401, rows[0][1]), (401, rows[0][1])]
+    rows += [(300, None), (301, [1.0] * 7 + [float("nan")]), (302, [None] + [1.0] * 7), (303, [float("inf")] * 8), (304, [0.5] * 3), (350, [0.5] * 3), (100, rows[0][1]), (400, [0.0] * 8), (450, []), (451, []), (451, []), (401, rows[0][1]), (401, rows[0][1])]
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0))
 
 

@@ -7,8 +7,11 @@ whole score (random access), and the bound at a depth is the score of a vector
 made of the components there. It stops as soon as the bound is below its kth
 best score, which it carries from block to block.
 
-Every query block meets every candidate block; a task keeps k rows of each of
-its queries, and a last small ranking joins the tasks' results.
+Every query block meets every candidate block of its vectors' length. Candidate
+blocks are dealt over groups and query blocks are copied to each group, so the
+search is as many tasks as there are groups, also where all vectors have one
+length. A task keeps k rows of each of its queries, and a last small ranking
+joins the tasks' results.
 """
 
 from __future__ import annotations
@@ -109,8 +112,8 @@ def searched(pairs: DataFrame, k: int) -> DataFrame:
             for r in batch.to_pylist():
                 dims = r["dims"]
                 q_ids, q_rows, ids, rows = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_rows", "ids", "rows"))
-                queries, vectors = (np.frombuffer(r[c], np.int64).reshape(-1, dims) for c in ("q_v", "v"))
-                lists = np.frombuffer(r["lists"], np.int16).reshape(dims, -1)
+                queries, vectors = (np.frombuffer(r[c], np.int64).reshape(len(n), dims) for c, n in (("q_v", q_ids), ("v", ids)))
+                lists = np.frombuffer(r["lists"], np.int16).reshape(dims, len(ids))
                 most = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dims, 1)
                 if most < EXACT:  # products of doubles are exact then, and faster
                     queries, vectors = queries.astype(np.float64), vectors.astype(np.float64)
@@ -124,22 +127,27 @@ def searched(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query_id bigint, query_row bigint, vec_id bigint, score bigint")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: float = 256.0, groups: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other rows for each row for which is_query holds.
 
     A component x counts as floor(scale * x), the score is the integer inner
     product; ties go to the smaller id. Vectors that are null, or hold a null or
     non-finite component, take no part, and vectors meet those of their own
-    length only. Repeated rows are candidates for each other, a row never for
-    itself; a null id ranks last among ties. Other columns are not read.
+    length only; those without components are of one length, with score 0.
+    Repeated rows are candidates for each other, a row never for itself; a null
+    id ranks last among ties, and an empty table gives an empty one. Other
+    columns are not read. groups: how many groups candidate blocks are dealt
+    over, the number of shuffle partitions by default.
     """
+    groups = groups or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.withColumn("_row", F.monotonically_increasing_id()).filter(usable(F.col(vector)))
     whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("bigint"))
     rows = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col("_row").alias("row"), whole.alias("v"), is_query.alias("q"))
-    queries = blocks(rows.filter("q").select("id", "row", "v"), QUERIES, False).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("v").alias("q_v"))
-    found = blocks(rows.select("id", "row", "v"), BLOCK, True)
-    # a stated query set against all rows, in blocks
-    pairs = found.crossJoin(queries).filter(F.col("dims") == F.col("q_dims"))
-    each = searched(pairs.drop("q_dims"), k)
+    queries = blocks(rows.filter("q").select("id", "row", "v"), QUERIES, False).select("dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("v").alias("q_v"))
+    queries = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = blocks(rows.select("id", "row", "v"), BLOCK, True).withColumn("g", F.pmod(F.xxhash64("rows"), F.lit(groups)).cast("int"))
+    # a stated query set against all rows, in blocks; a given number of partitions is not merged into fewer tasks
+    pairs = found.repartition(groups, "dims", "g").join(queries.repartition(groups, "dims", "g"), ["dims", "g"])
+    each = searched(pairs.drop("g"), k)
     rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
