@@ -75,7 +75,7 @@ def test_nothing_to_learn_from(spark):
     docs = cases.documents(spark)
     got, _ = lm_score.score_documents(docs, F.lit(False))
     rows = got.collect()
-    assert len(rows) == docs.count() and all(r.n_known == 0 for r in rows)
+    assert len(rows) == docs.count() and all(r.n_known == 0 and r.score == 0 for r in rows)
     assert lm_score.score_documents(cases.empty(spark), F.lit(True))[0].count() == 0
 
 
@@ -98,6 +98,57 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_null_ids_are_held_out(spark, tmp_path):
+    rows = [(None, "some words here", "en", "a"), (1, "some other words", "en", "a"), (2, "einige andere", "de", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("op2_lm_scoring", "op6_language_id"):
+        assert {r.doc_id: r.held_out for r in QUERIES[name](spark, str(tmp_path)).collect()}[None] is True
+
+
+def test_other_languages_are_refused():
+    rng = random.Random(5)
+    sample = {"en": "the quick brown fox jumps over the lazy dog and then it goes back to its own house where there is nothing left to eat", "de": "der schnelle braune fuchs springt über den faulen hund und geht dann in sein eigenes haus zurück in dem nichts mehr zu essen ist"}
+    pairs = [(lang, " ".join(rng.choices(text.split(), k=60))) for lang, text in sample.items() for _ in range(50)]
+    p = langid.Profiles(*langid.Profiles.learn(pairs))
+    assert p.accepts(" ".join(rng.choices(sample["en"].split(), k=80))) and p.accepts("Haus") and not p.accepts("123 !!")
+    greek = "η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο και μετά πηγαίνει πίσω στο σπίτι της όπου δεν υπάρχει τίποτα"
+    encoded = "".join(rng.choice("QWERTZUIOPJKLYXCVBNM0123456789+/qjxzvkwy") for _ in range(600))
+    assert not p.accepts(greek) and not p.accepts(encoded)
+
+
+def plain_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    grams = Counter()
+    for w in words:
+        x = f" {w} "
+        grams.update(x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1) if x[i : i + n] != " ")
+    return grams
+
+
+def test_distance_equals_a_plain_version():
+    rng = random.Random(3)
+    texts = {"aa": "abc abd abe ab a " * 9 + "bcd", "bb": "xyz xya xyb xy x " * 9 + "zab", "cc": "mno mnp mab mn m " * 9}
+    p = langid.Profiles(*langid.Profiles.learn(list(texts.items()), most=20))
+    n = p.grams.size
+
+    def number(g):
+        k = [0 if c == " " else int(p.grams.low[ord(c)]) for c in g]
+        return [k[0], n + k[0] * n + k[-1], n + n * n + (k[0] * n + k[1 % len(k)]) * n + k[-1]][len(k) - 1]
+
+    def top(text):
+        grams = plain_grams(text)
+        return sorted(grams, key=lambda g: (-grams[g], number(g)))[:20]
+
+    ranks = {lang: {g: k for k, g in enumerate(top(text))} for lang, text in texts.items()}
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abcxyzmn") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12)))
+        own = top(text)
+        off = {lang: sum(abs(r[g] - k) if g in r else 20 for k, g in enumerate(own)) for lang, r in ranks.items()}
+        best = min(sorted(off), key=off.get)
+        lang, score = p.predict(text)
+        assert lang == best and abs(score - (1 - off[best] / (20 * len(own)))) < 1e-9
+
+
 def test_far_letters():
     p = langid.Profiles(*langid.Profiles.learn([("ja", "日本語のテキスト 日本語"), ("en", "some english text")]))
     assert p.predict("日本語です😀")[0] == "ja" and p.predict("english 日")[0] == "en" and p.predict("😀 ²")[0] == "und"

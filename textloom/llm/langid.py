@@ -28,8 +28,10 @@ from .common import cells, map_batches, texts_of
 SAMPLE = 1000
 #: N-grams of a profile.
 PROFILE = 400
-#: Letters that have a number of their own; the rest share one.
-ALPHABET = 120
+#: Letters that have a number of their own; the rest share so many by their place in Unicode.
+ALPHABET, SHARED = 120, 24
+#: A text is refused if its best profile is further off than this score (0 to 1) and it has so many n-grams at least.
+LEAST, ENOUGH = 0.25, 250
 LETTERS = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -39,18 +41,23 @@ def has_letter(text: str) -> bool:
     return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
 
 
+def shared_number(c: int) -> int:
+    """The number of a letter that has none of its own: letters of one block of 32 have the same, neighbouring blocks others."""
+    return 1 + (c >> 5) * 2654435761 % (1 << 32) * SHARED // (1 << 32)
+
+
 class Grams:
-    """Numbers for the n-grams of one to three letters of an alphabet. 0 is the space, 1 any other letter."""
+    """Numbers for the n-grams of one to three letters of an alphabet. 0 is the space, 1 to SHARED are letters outside of it."""
 
     def __init__(self, alphabet: str):
-        self.size = len(alphabet) + 2
+        self.size = len(alphabet) + SHARED + 1
         self.codes = np.array(sorted(map(ord, alphabet)), np.uint32)
         low = np.ones(0x3000, np.int32)
         for c in range(0x3000):
-            low[c] = 1 if chr(c).isalpha() else 0
+            low[c] = shared_number(c) if chr(c).isalpha() else 0
         for i, c in enumerate(self.codes.tolist()):
             if c < 0x3000:
-                low[c] = i + 2
+                low[c] = i + SHARED + 1
         self.low = low
 
     def letters(self, text: str) -> np.ndarray:
@@ -65,7 +72,7 @@ class Grams:
             far = np.flatnonzero(~near)
             kinds, back = np.unique(codes[far], return_inverse=True)
             at = np.searchsorted(self.codes, kinds)
-            numbers = [int(a) + 2 if a < len(self.codes) and self.codes[a] == c else int(chr(c).isalpha()) for a, c in zip(at, kinds.tolist())]
+            numbers = [int(a) + SHARED + 1 if a < len(self.codes) and self.codes[a] == c else shared_number(c) if chr(c).isalpha() else 0 for a, c in zip(at, kinds.tolist())]
             out[1 + far] = np.array(numbers, np.int32)[back]
         keep = np.ones(len(out), bool)
         keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
@@ -134,9 +141,19 @@ class Profiles:
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and a score from 0 to 1: how much nearer the best profile is than the greatest distance there is."""
+        return self.compared(text)[:2]
+
+    def accepts(self, text: str, least: float = LEAST) -> bool:
+        """Whether a text is in one of the languages: near enough to a profile, or too short to say that it is not."""
+        lang, score, n = self.compared(text)
+        return lang != UNKNOWN and (score >= least or n < ENOUGH)
+
+    def compared(self, text: str) -> tuple[str, float, int]:
+        """predict(), and the number of the text's n-grams, repeats included."""
         if not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         own = np.sort(self.grams.of(text))
+        n = len(own)
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         counts = np.diff(np.append(first, len(own)))
         top = own[first]
@@ -149,7 +166,7 @@ class Profiles:
         off = np.where(rank == self.most, self.most, np.abs(rank - np.arange(len(top), dtype=np.int32)))
         off = off.sum(axis=1)
         best = int(np.argmin(off))
-        return self.langs[best], float(1.0 - off[best] / (self.most * len(top)))
+        return self.langs[best], float(1.0 - off[best] / (self.most * len(top))), n
 
 
 def fit(docs: DataFrame, id_col: str, text: str, lang: str, train: Column | None, sample: int, most: int):
@@ -189,12 +206,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     return map_batches(docs.select(id_col, text), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double", rows=500)
 
 
-def reject_unknown(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = PROFILE) -> DataFrame:
-    """The rows of docs whose text has a language at all, with all their columns; what identify() calls `und` goes."""
+def reject_unknown(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = PROFILE, least: float = LEAST) -> DataFrame:
+    """The rows of docs whose text is in one of the languages of docs, with all their columns.
+
+    What identify() calls `und` goes, and so do texts of ENOUGH n-grams whose
+    best profile has a score below `least`: another language or script, encoded
+    data. Prose of a learned language has scores of 0.4 and more. With nothing to
+    learn from, all rows go.
+    """
     profiles = fit(docs, id_col, text, lang, None, sample, most)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        predict = profiles().predict
-        return batch.filter(pa.array([predict(t)[0] != UNKNOWN for t in texts_of(batch, text)], pa.bool_()))
+        accepts = profiles().accepts
+        return batch.filter(pa.array([accepts(t, least) for t in texts_of(batch, text)], pa.bool_()))
 
     return map_batches(docs, run, docs.schema, rows=500)

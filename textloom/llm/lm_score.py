@@ -234,7 +234,8 @@ class Model:
         self.d, self.d_low = discounts(about["pair_counts"]), discounts(about["follow_counts"])
         self.types = max(about["types"], 1)
         f = about["follow_counts"]
-        self.rest = float((self.d_low[1] * f[0] + self.d_low[2] * f[1] + self.d_low[3] * (about["followers"] - f[0] - f[1])) / self.types)
+        # with nothing to learn from, all is left to the one unknown word
+        self.rest = float((self.d_low[1] * f[0] + self.d_low[2] * f[1] + self.d_low[3] * (about["followers"] - f[0] - f[1])) / self.types) if about["types"] else 1.0
         self.files: dict[tuple[str, int], dict[str, np.ndarray]] = {}
 
     def file(self, kind: str, part: int) -> dict[str, np.ndarray]:

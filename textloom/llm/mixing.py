@@ -1,13 +1,15 @@
 """Mixing sources to target weights along a time-varying curriculum, with DataFrame functions only.
 
 Every source has a weight in each phase of the training; phases follow one
-another and have lengths. A source's target is its share of all words, a
-phase's words being shared by the weights that hold in it; targets stop at a
-multiple of the source's size, and what is over is reshared by weight among
-the sources below theirs (a water level over the few rows of the source table).
-
-A source's weight schedule, integrated over the phases, is its cumulative word
-demand, scaled to its target. Its documents stand in a keyed random order and
+another and have lengths. A phase's words are shared by the weights that hold in
+it, or, with shares=False, all words are shared by the weights integrated over
+the phases, so a phase may take more or fewer words than its length. That gives
+each source's target; targets stop at a multiple of the source's size, and what
+is over is reshared by weight among the sources below theirs (a water level over
+the rows of the source table).
+
+A source's weight schedule, integrated up to a time, is its cumulative word
+demand there, scaled to its target. Its documents stand in a keyed random order and
 are gone through again and again; a document begins at a cumulative number of
 words, and the inverse of the demand at that number is its training position,
 from 0 to 1. A range sort by position gives the training order.
@@ -22,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, quoted
 
 #: Hash ranges of a source: each is one task's sort, so a source of 10^11 rows has some 10^7 in each.
 SLICES = 8192
 #: Weights of sources in the order of their names, over and over.
 CYCLE = (5.0, 2.0, 1.0)
+#: Phases, each with its length and such weights. Their integral is CYCLE: the first kind of source rises, the second falls, the third is constant.
+CURRICULUM = ((0.25, (3.0, 3.0, 1.0)), (0.5, (5.0, 2.0, 1.0)), (0.25, (7.0, 1.0, 1.0)))
 
 
 def word_count(text: Column) -> Column:
@@ -35,8 +39,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, f"{SPACE}+"), "")).cast("long"), F.lit(0).cast("long"))
 
 
-def source_targets(sized: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...], most: float) -> DataFrame:
-    """key, source, source_size, weights (the source's share of each phase) and target of each source of (key, source, size).
+def source_targets(sized: DataFrame, phases: tuple[tuple[float, tuple[float, ...]], ...], most: float, shares: bool) -> DataFrame:
+    """key, source, source_size, weights (of each phase) and target of each source of (key, source, size).
 
     One row for each source comes out of the shuffle; the windows below run over those rows only.
     """
@@ -46,14 +50,15 @@ def source_targets(sized: DataFrame, phases: tuple[tuple[float, tuple[float, ...
     length = float(sum(a for a, _ in phases))
     weights = F.array(*[F.element_at(F.array(*[F.lit(float(w)) for w in ws]), F.pmod(F.col("place"), F.lit(len(ws))).cast("int") + 1) for _, ws in phases])
     per = per.withColumn("place", F.row_number().over(by_name) - 1).withColumn("total", total).withColumn("weights", weights)
-    # the share of all words: over the phases, each phase's share by its weights
+    # the share of all words: by the integral of the weights, or of their shares, over the phases
     everyone = Window.partitionBy()
-    share = F.lit(0.0)
-    parts = [F.coalesce(F.try_divide(F.col("weights")[k], F.sum(F.col("weights")[k]).over(everyone)), F.lit(0.0)) for k in range(len(phases))]
-    per = per.withColumn("weights", F.array(*parts))
+    if shares:
+        per = per.withColumn("weights", F.array(*[F.coalesce(F.try_divide(F.col("weights")[k], F.sum(F.col("weights")[k]).over(everyone)), F.lit(0.0)) for k in range(len(phases))]))
+    integral = F.lit(0.0)
     for k, (a, _) in enumerate(phases):
-        share = share + F.lit(a / length) * F.col("weights")[k]
-    per = per.withColumn("share", share).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+        integral = integral + F.lit(a / length) * F.col("weights")[k]
+    per = per.withColumn("integral", integral)
+    per = per.withColumn("share", F.coalesce(F.try_divide("integral", F.sum("integral").over(everyone)), F.lit(0.0))).withColumn("cap", F.col("source_size") * F.lit(float(most)))
     # the level: sources in the order in which they reach their cap; those before a source take theirs, it and the rest share what is left
     order = Window.partitionBy().orderBy(F.try_divide("cap", "share").asc_nulls_last(), F.col("place").asc())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -83,11 +88,19 @@ def demand_inverse(words: Column, target: Column, weights: Column, phases: tuple
     return F.coalesce(position, F.lit(1.0))
 
 
-def mix(docs: DataFrame, size: Column | None = None, phases: tuple = ((1.0, CYCLE),), most: float = 3.0, seed: int = 42, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def in_order(df: DataFrame, position: str, *more: str) -> DataFrame:
+    """df range-sorted by a position from 0 to 1. Ranges are equal parts of the training, so nothing is read to find them."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.least(F.floor(F.coalesce(F.col(position), F.lit(1.0)) * parts), F.lit(parts - 1)).cast("int")
+    return df.repartitionById(parts, at).sortWithinPartitions(position, *more)
+
+
+def mix(docs: DataFrame, size: Column | None = None, phases: tuple = ((1.0, CYCLE),), shares: bool = True, most: float = 3.0, seed: int = 42, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The mix of docs: the columns `keep`, source, size, source_size, target, copies, taken and positions.
 
     phases: (length, weights) each; the weights are dealt to the sources by code
-    point of their names, null last, over and over. copies is how often the mix
+    point of their names, null last, over and over; shares: whether a phase's
+    words are shared by them (see above). copies is how often the mix
     takes a document, taken = copies * size, positions where in the training
     (from 0 to 1) each copy stands.
 
@@ -97,7 +110,7 @@ def mix(docs: DataFrame, size: Column | None = None, phases: tuple = ((1.0, CYCL
     a hash of the kept columns and the seed; rows that agree in all of these are
     interchangeable. An empty table gives an empty one, a source without words a
     target of 0. Clashing names among other columns do not matter: only those
-    kept are read. No document is taken more often than ceil(most) times, and a
+    kept are read (they must not be called key, source, size, slice or deal). No document is taken more often than ceil(most) times, and a
     source's taken words differ from its target by less than one document.
     """
     size = word_count(F.col("text")) if size is None else size
@@ -109,7 +122,7 @@ def mix(docs: DataFrame, size: Column | None = None, phases: tuple = ((1.0, CYCL
     slices = rows.groupBy("key", "source", "slice").agg(F.sum("size").alias("size"))
     inside = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select("key", "slice", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("slice_start"))
-    starts = starts.join(source_targets(slices, phases, most).drop("source"), "key")
+    starts = starts.join(source_targets(slices, phases, most, shares).drop("source"), "key")
     within = Window.partitionBy("key", "slice").orderBy("deal", *[F.col(c) for c in keep], "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["key", "slice"])
     rows = rows.withColumn("start", F.col("slice_start") + F.col("before"))
@@ -121,22 +134,23 @@ def mix(docs: DataFrame, size: Column | None = None, phases: tuple = ((1.0, CYCL
     return rows.select(*keep, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
 
 
-def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", position: str = "position", **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, range-sorted by position; `how` are arguments of mix().
 
-    The column position is added (and replaced where docs has one). Rows that
+    The column named by `position` is added; docs must not have one of that name
+    if both are to be told apart by name. Rows that
     share an id, null included, are told apart by their text and source; those
     that agree in these too are paired with the mix's rows one to one.
     """
-    docs = docs.drop("position")
-    own = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull(), text, "source")
-    rows = docs.withColumn("_row_key", own)
+    own = F.xxhash64(F.coalesce(quoted(key).cast("string"), F.lit("")), quoted(key).isNull(), quoted(text), F.col("source"))
+    # names of its own beside all columns of docs, which travel as one
+    rows = docs.select(own.alias("_row_key"), F.col("source"), quoted(text).alias("text"), F.struct(*map(quoted, docs.columns)).alias("_all"))
     mixed = cut(mix(rows, keep=("_row_key",), **how).filter("copies > 0 or size = 0").select("_row_key", "positions"))
-    same = ["_row_key"]
+    rows, same = rows.select("_row_key", "_all"), ["_row_key"]
     if not mixed.groupBy("_row_key").count().filter("count > 1").isEmpty():
         same.append("_nth")
         number = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
         rows, mixed = rows.withColumn("_nth", number), mixed.withColumn("_nth", number)
-    placed = mixed.select(*same, F.explode("positions").alias("position"))
-    out = rows.join(placed, same).drop("_row_key", "_nth")
-    return out.repartitionByRange(F.col("position"), F.col(key)).sortWithinPartitions("position", key)
+    placed = mixed.select(*same, F.explode("positions").alias("_at"))
+    out = in_order(rows.join(placed, same).withColumn("_id", F.col("_all")[key]), "_at", "_id")
+    return out.select(*(F.col("_all")[c].alias(c) for c in docs.columns), F.col("_at").alias(position))

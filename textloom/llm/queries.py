@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import REST, format_log, log_of, read_back
@@ -13,7 +13,7 @@ from .decontaminate import find_contamination
 from .html_extract import extract_text
 from .langid import identify
 from .lm_score import score_documents
-from .mixing import mix
+from .mixing import CURRICULUM, in_order, mix
 from .simhash import fingerprint_hex, near_duplicates
 from .token_count import count_tokens
 from .token_shards import write_manifest, write_shards
@@ -26,6 +26,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(id_col: str, of: int) -> Column:
+    """crc32 of the id as text, modulo a number; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % of
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -33,7 +38,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    held_out = remainder("doc_id", 10) == 0
     scores, about = score_documents(docs, ~held_out)
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(about["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -53,28 +58,30 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    found = identify(docs, train=rest != 0)
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+    held_out = remainder("doc_id", 5) == 0
+    return identify(docs, train=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, folder = write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    write_manifest(found, folder)
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    found, folder = write_shards(table(spark, sf_dir, "documents"), tokenizer)
+    write_manifest(found, folder, tokenizer)
     return found
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    kinds = dict(turns.dtypes)
+    more = spark.range(2).select(F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     back = read_back(format_log(log_of(turns.unionByName(more))))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")
+    mixed = mix(table(spark, sf_dir, "documents"), phases=CURRICULUM, shares=False).withColumn("first_position", F.get("positions", F.lit(0)))
+    return in_order(mixed, "first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")
 
 
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

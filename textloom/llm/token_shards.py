@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import cells, cut, publish, scratch
 from .token_count import load
 
-#: Tokens of a sequence, and bytes of a token id.
-LENGTH, WIDTH = 1024, 2
+#: Tokens of a sequence.
+LENGTH = 1024
 #: Sequences of a partition are numbered below this bound.
 PER_PARTITION = 1 << 32
 REMEMBERED = 600_000
@@ -70,6 +70,8 @@ class Encoder:
     def __init__(self, path: str):
         self.bpe = load(path)
         self.end = next(iter(self.bpe.special_ids.values()), 0)
+        #: Bytes of a token id: two as long as all ids of the vocabulary fit.
+        self.width = 2 if max(self.bpe.base - 1, *self.bpe.special_ids.values(), 0) < 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -80,7 +82,7 @@ class Encoder:
             self.known.clear()
         if new:
             symbols, counts = self.bpe.merge(new)
-            raw, ends = symbols.astype("<u2").tobytes(), np.cumsum(counts) * WIDTH
+            raw, ends = symbols.astype(f"<u{self.width}").tobytes(), np.cumsum(counts) * self.width
             self.known.update((w, raw[a:b]) for w, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist()))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in found]
@@ -102,7 +104,8 @@ def sequences(docs: DataFrame, tokenizer: str, key: int, partitions: int, id_col
         part = TaskContext.get().partitionId()
         if part >= partitions:
             raise ValueError("the input has more partitions than were counted")
-        stride, end = length * WIDTH, int(enc.end).to_bytes(WIDTH, "little")
+        width = enc.width
+        stride, end = length * width, int(enc.end).to_bytes(width, "little")
         rest, own, number = bytearray(), [], 0  # own: [doc, tokens of it in rest]
 
         def cut_off(last: bool) -> pa.RecordBatch | None:
@@ -112,14 +115,14 @@ def sequences(docs: DataFrame, tokenizer: str, key: int, partitions: int, id_col
             doc = next(queue, None)
             while len(rest) - at >= stride or last and len(rest) > at:
                 piece = bytes(rest[at : at + stride])
-                left, mine = len(piece) // WIDTH, []
+                left, mine = len(piece) // width, []
                 n = left
                 while left and doc is not None:
                     take = min(left, doc[1])
                     mine.append({"doc_id": doc[0], "n": take})
                     left -= take
                     doc = [doc[0], doc[1] - take] if doc[1] > take else next(queue, None)
-                made.append((n, mine, piece + end * ((stride - len(piece)) // WIDTH)))
+                made.append((n, mine, piece + end * ((stride - len(piece)) // width)))
                 at += stride
             own = [] if doc is None else [doc, *queue]
             rest = rest[at:]
@@ -142,7 +145,7 @@ def sequences(docs: DataFrame, tokenizer: str, key: int, partitions: int, id_col
                 for i, raw in zip(ids, enc.encode(texts)):
                     rest += raw
                     rest += end
-                    own.append([i, len(raw) // WIDTH + 1])
+                    own.append([i, len(raw) // width + 1])
                 if (out := cut_off(False)) is not None:
                     yield out
         if (out := cut_off(True)) is not None:
@@ -162,8 +165,9 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str | None = None, key: i
     Null and empty texts are an end token alone. Repeated rows and ids are
     written as often as they come; a null id stays null in docs. An empty table
     writes nothing. The order of documents inside a partition is that of the
-    input; with the same input files, key and shards, all bytes are the same
-    again. Other columns are not read.
+    input; with the same input files, partitions, key and shards, all bytes are
+    the same again. Token ids take two bytes, or four where the vocabulary has
+    more than 65,536. Other columns are not read.
     """
     spark = docs.sparkSession
     partitions = max(1, docs.rdd.getNumPartitions())
@@ -171,8 +175,8 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str | None = None, key: i
     bound = partitions * PER_PARTITION
     folder = out or scratch(spark, "shards")
     made = sequences(docs, tokenizer, key, partitions, id_col, text, length)
-    width = -(-bound // shards)
-    made = made.withColumn("shard", F.floor(F.col("place") / F.lit(width).cast("double")).cast("int"))
+    places = -(-bound // shards)
+    made = made.withColumn("shard", F.expr(f"cast(place div {places} as int)"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -211,23 +215,26 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str | None = None, key: i
             )
         close()
 
-    ordered = made.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "tokens", "n_tokens", "docs")
+    # each range of places is one task's
+    ordered = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place").select("shard", "tokens", "n_tokens", "docs")
     rows = cut(ordered.mapInArrow(run, "shard int, file string, byte_offset bigint, n_tokens int, tokens_hash bigint, docs array<struct<doc_id:bigint,n:int>>"))
     # one row for each shard
     first = rows.groupBy("shard").agg(F.count("*").alias("n")).withColumn("first_slot", F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    stride = length * WIDTH
+    stride = length * encoder(tokenizer).width
     placed = rows.join(F.broadcast(first.select("shard", "first_slot")) if shards <= 100_000 else first.select("shard", "first_slot"), "shard")
     return placed.select((F.col("first_slot") + F.expr(f"byte_offset div {stride}")).alias("slot"), "shard", "file", "byte_offset", "n_tokens", "tokens_hash", "docs"), folder
 
 
-def write_manifest(table: DataFrame, folder: str, length: int = LENGTH) -> None:
-    """Writes manifest.json beside the shards: stride and, for each shard, its file, first slot and number of sequences."""
+def write_manifest(table: DataFrame, folder: str, tokenizer: str, length: int = LENGTH) -> None:
+    """Writes manifest.json beside the shards: stride, bytes of a token id and, for each shard, its file, first slot and number of sequences. Without sequences there are no shards."""
     from pyarrow import fs
 
     rows = table.groupBy("shard", "file").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n")).orderBy("shard").collect()  # a row for each shard
     store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    width = encoder(tokenizer).width
     with store.open_output_stream(f"{base}/manifest.json") as f:
-        f.write(json.dumps({"stride": length * WIDTH, "length": length, "shards": [r.asDict() for r in rows]}).encode())
+        f.write(json.dumps({"stride": length * width, "width": width, "length": length, "shards": [r.asDict() for r in rows]}).encode())
 
 
 def read_sequences(folder: str, start: int = 0) -> Iterator[tuple[int, np.ndarray]]:
@@ -243,4 +250,4 @@ def read_sequences(folder: str, start: int = 0) -> Iterator[tuple[int, np.ndarra
             with store.open_input_file(f"{base}/{shard['file']}") as f:
                 f.seek(skip * about["stride"])
                 for k in range(skip, shard["n"]):
-                    yield shard["first_slot"] + k, np.frombuffer(f.read(about["stride"]), "<u2")
+                    yield shard["first_slot"] + k, np.frombuffer(f.read(about["stride"]), f"<u{about['width']}")
