@@ -41,8 +41,9 @@ def samples(spark):
     return texts, bench
 
 
-@pytest.mark.parametrize("most", [50_000, 0])
-def test_equals_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("plan,most", [(50_000, 0), (0, 2_000_000), (0, 0)])
+def test_equals_brute_force(spark, monkeypatch, plan, most):
+    monkeypatch.setattr(D, "IN_PLAN", plan)
     monkeypatch.setattr(D, "MOST_BROADCAST", most)
     texts, bench = samples(spark)
     docs = cases.documents(spark, texts)
@@ -55,7 +56,9 @@ def test_equals_brute_force(spark, monkeypatch, most):
     assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got)
 
 
-def test_spans_go_and_clean_rows_stay(spark):
+@pytest.mark.parametrize("plan", [10_000, 0])
+def test_spans_go_and_clean_rows_stay(spark, monkeypatch, plan):
+    monkeypatch.setattr(D, "IN_PLAN", plan)
     passage = " ".join(f"w{i}" for i in range(14))
     text = "Start here: " + " ".join(f"filler{i}" for i in range(400)) + ". " + passage + ". The end"
     docs = cases.documents(spark, [passage, text, "clean, text", None, ""])
@@ -67,7 +70,9 @@ def test_spans_go_and_clean_rows_stay(spark):
     assert D.find_contamination(got, b).filter("n_hit > 0").count() == 0
 
 
-def test_empty_tables(spark):
+@pytest.mark.parametrize("plan", [10_000, -1])
+def test_empty_tables(spark, monkeypatch, plan):
+    monkeypatch.setattr(D, "IN_PLAN", plan)
     b = spark.createDataFrame([], "item_id long, text string")
     docs = cases.documents(spark)
     assert D.find_contamination(docs, b).filter("n_hit = 0 and not contaminated").count() == docs.count()

@@ -1,17 +1,20 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Benchmark texts become windows of 13 consecutive words (a shorter item is one
-window of all its words). Their 64-bit hashes are a hash set in the plan, sent
-with the tasks; a table of windows beyond MOST_BROADCAST takes the other way, a
-shuffled join on the hash.
-
-A document is tested in two steps, both inside its own row. Every window of n
-words holds a whole block of b = (n + 1) // 2 words that begins at a multiple
-of b, so it is enough to look up each b-th place of a document; only documents
-with such a block are scanned place by place. Places whose hash is in the set
-are then verified: the words themselves are compared in a join with the
-windows. Nothing is shuffled but one small row for each document and those
-for its hits.
+window of all its words), kept as a set of 64-bit hashes.
+
+A document is tested in two steps. Every window of n words holds a whole block
+of b = (n + 1) // 2 words that begins at a multiple of b, so it is enough to look
+up each b-th place of a document; only around such blocks all places are looked
+up. Places whose hash is in the set are then verified: the words themselves are
+compared in a join with the windows.
+
+Up to IN_PLAN windows the sets are part of the plan and both steps are made
+inside a document's own row; nothing is shuffled but one small row for each
+document and those for its hits. More windows are looked up in joins: a hash for
+each b-th place is sent to a broadcast set of block hashes, or shuffled where
+there are more than MOST_BROADCAST of these; what passes, a few words around a
+block, goes on to the windows.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, once
+from .common import ascii_lower, cut, once, quoted
 
 #: What separates words: ASCII but for letters and digits, after lower-casing.
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NGRAM = 13
-#: Windows whose hashes are sent with the tasks: 50,000 hashes are 0.4 MB. More take the shuffled join.
-MOST_BROADCAST = 50_000
+#: Windows whose hashes and words are written into the plan (about 1 kB of plan text each), and hashes that are broadcast.
+IN_PLAN, MOST_BROADCAST = 10_000, 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -53,14 +56,14 @@ def places(n: int, step: int) -> str:
 
 
 def bounded(windows: DataFrame) -> bool:
-    """Whether the windows are few enough to be sent with the tasks."""
-    return windows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    """Whether the windows are few enough for the plan."""
+    return windows.limit(IN_PLAN + 1).count() <= IN_PLAN
 
 
 def hits_in_row(windows: DataFrame) -> Column:
     """The verified hits in the array of words w, for windows that are bounded()."""
     sets: dict[int, tuple[set, set, set]] = {}
-    for r in windows.select("len", "hash", "blocks", F.array_join("gram", " ").alias("gram")).collect():  # MOST_BROADCAST rows at most
+    for r in windows.select("len", "hash", "blocks", F.array_join("gram", " ").alias("gram")).collect():  # IN_PLAN rows at most
         hashes, blocks, grams = sets.setdefault(r["len"], (set(), set(), set()))
         hashes.add(r["hash"])
         blocks.update(r["blocks"])
@@ -90,12 +93,19 @@ def with_hits(docs: DataFrame, windows: DataFrame, text: str, small: bool) -> Da
     if small:
         rows = once(rows, "_hits", hits_in_row(windows)).withColumn("n_words", F.size("w").cast("long")).drop("w")
     else:
-        # all places of all documents, shuffled by hash
         sizes = sorted(r["len"] for r in windows.select("len").distinct().collect())  # as many as words in a window
         rows = cut(rows.withColumn("n_words", F.size("w").cast("long")))
-        each = F.expr("concat(" + ", ".join(f"transform({places(n, 1)}, i -> named_struct('at', i, 'len', {n}, 'gram', slice(w, i, {n})))" for n in sizes) + ")")
-        at = rows.select("_row", F.explode(each).alias("x")).select("_row", "x.at", "x.len", "x.gram", F.xxhash64("x.gram").alias("hash"))
-        found = at.join(windows.select("len", "gram", "hash"), ["hash", "len", "gram"]).groupBy("_row").agg(F.collect_list(F.struct("at", "len", F.array_join("gram", " ").alias("gram"))).alias("_hits"))
+        blocks = cut(windows.select(F.explode("blocks").alias("block")).distinct())
+        near = ["cast(array() as array<struct<block:bigint,len:int,begin:int,around:array<string>>>)"]  # for each block of a document: its hash and the words that windows around it can have
+        for n in sizes:
+            b = (n + 1) // 2
+            begin = f"greatest(1, i - {n - b})"
+            near.append(f"transform({places(b, b)}, i -> named_struct('block', xxhash64(slice(w, i, {b})), 'len', {n}, 'begin', {begin}, 'around', slice(w, {begin}, i + {n} - {begin})))")
+        at = rows.select("_row", F.explode(F.expr(f"concat({', '.join(near)})")).alias("x")).select("_row", "x.*")
+        at = at.join(F.broadcast(blocks) if blocks.count() <= MOST_BROADCAST else blocks, "block", "left_semi")
+        each = F.expr("if(size(around) >= len, transform(sequence(1, size(around) - len + 1), k -> named_struct('at', begin + k - 1, 'gram', slice(around, k, len))), array())")
+        at = at.select("_row", "len", F.explode(each).alias("x")).select("_row", "len", "x.at", "x.gram", F.xxhash64("x.gram").alias("hash"))
+        found = at.join(windows.select("len", "gram", "hash"), ["hash", "len", "gram"]).groupBy("_row").agg(F.collect_set(F.struct("at", "len", F.array_join("gram", " ").alias("gram"))).alias("_hits"))
         rows = rows.drop("w").join(found, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array()).cast(HIT))
     return once(rows, "hit_places", hit_words(F.col("_hits")))
 
@@ -145,8 +155,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ngr
     Cases are defined as in find_contamination; rows without hits stay as they are.
     """
     windows = cut(windows_of(benchmark, ngram))
-    shape = F.struct(*[F.col(c) for c in docs.columns]).alias("_all")
-    rows = with_hits(docs.select(F.col(text).alias("_text"), shape), windows, "_text", bounded(windows))
+    shape = F.struct(*map(quoted, docs.columns)).alias("_all")
+    rows = with_hits(docs.select(quoted(text).alias("_text"), shape), windows, "_text", bounded(windows))
     n_hit = F.size("hit_places")
     kept = rows.filter((n_hit == 0) | (share * n_hit < F.col("n_words")))
     old = F.col("_all")[text]

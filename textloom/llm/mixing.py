@@ -89,9 +89,10 @@ def demand_inverse(words: Column, target: Column, weights: Column, phases: tuple
 
 
 def in_order(df: DataFrame, position: str, *more: str) -> DataFrame:
-    """df range-sorted by a position from 0 to 1. Ranges are equal parts of the training, so nothing is read to find them."""
+    """df range-sorted by a position from 0 to 1. Ranges are equal parts of the training, so nothing is read to find them; rows without a position are spread over all of them and come first in each."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = F.least(F.floor(F.coalesce(F.col(position), F.lit(1.0)) * parts), F.lit(parts - 1)).cast("int")
+    anywhere = F.pmod(F.xxhash64(*more), F.lit(parts)) if more else F.lit(0)
+    at = F.least(F.coalesce(F.floor(F.col(position) * parts), anywhere), F.lit(parts - 1)).cast("int")
     return df.repartitionById(parts, at).sortWithinPartitions(position, *more)
 
 
