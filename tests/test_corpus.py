@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import schema as S
+from textloom.functions import text as T
 from textloom.operators import corpus as C
 from textloom.operators import repair, scoring, split, synth, vocab
 from textloom.sources import adapters, files, paged
@@ -182,8 +183,66 @@ def test_paged_source():
 
 def test_adapters(spark):
     raw = spark.createDataFrame([(0, "{'injection_text': ' ', 'goal': 'g'}", "d", "a"), (1, '{"injection_text": "t"}', "d", "a"), (2, "x", "d", "a")], "ordinal int, injection string, domain string, attack_category string")
-    assert sorted(r.text for r in adapters.nemotron(raw).collect()) == ["g", "t"]
+    assert sorted(r.text for r in adapters.nemotron(raw).collect()) == ["t"]  # a text of spaces is no text, and the goal does not stand in for it
     raw = spark.createDataFrame([(0, "Hi", "body", "s1"), (1, "", " only ", "s1"), (2, None, None, "s")], "ordinal int, subject string, body string, scenario string")
     assert sorted(r.text for r in adapters.llmail(raw).collect()) == ["Hi\nbody", "only"]
     raw = spark.createDataFrame([(0, "a", "ham", "ham", "en"), (1, "b", "ham", "spam", "en"), (2, "", "ham", "ham", "en")], "ordinal int, text string, label string, label_3class string, language string")
     assert [r.text for r in adapters.sms_ham(raw).collect()] == ["a"]
+
+
+def test_contexts_with_attacks(spark):
+    import hashlib
+
+    raw = spark.createDataFrame([(0, "Base Encoding", "text", "a1"), (1, "Programming Help", "text", "no"), (2, "Clickbait", "text", "a2"), (3, "Clickbait", "text", "a1"), (4, "Eavesdropping", "code", "c")], "ordinal long, category string, kind string, text string")
+    texts = [" First one. Second! Third? End ", "", "no end here", None, "A. B. C. D. E."]
+    contexts = spark.createDataFrame(list(enumerate(texts)), "ordinal long, context string")
+    got = [(r.text, r.label, r.group, r.notes) for r in adapters.spliced_contexts(contexts, raw).orderBy("ordinal").collect()]
+    number = lambda x: int(hashlib.sha1(x.encode()).hexdigest()[:8], 16)
+    want, pool = [], ["a1", "a2"]
+    for ci, c in enumerate(x.strip() for x in texts if x and x.strip()):
+        group = "ctx-" + hashlib.sha1(c.encode()).hexdigest()[:12]
+        want.append((c, "benign", group, "clean-context"))
+        for j in range(4):
+            attack, place = pool[(ci * 4 + j) % 2], ("start", "end", "middle")[number(f"{ci}:{j}") % 3]
+            ends = [k + 2 for k in range(len(c) - 2) if c[k] in ".!?" and c[k + 1] == " "]
+            text = f"{attack}\n{c}" if place == "start" else f"{c}\n{attack}"
+            if place == "middle" and ends:
+                at = ends[number(c + attack) % len(ends)]
+                text = f"{c[:at]}{attack}\n{c[at:]}"
+            want.append((text, "injection", group, f"indirect/{place}"))
+    assert got == want
+
+
+def test_registry_order_caps_and_failures(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    sms = spark.createDataFrame([(i, f"please verify your password {i}", "ham", "ham") for i in range(5)], "ordinal long, text string, label string, label_3class string")
+    mail = spark.createDataFrame([(i, f"s{i // 2}", "b", "x", "P") for i in range(250)], "ordinal long, subject string, body string, scenario string, split string")
+    broken = spark.createDataFrame([(1,)], "other int")
+    own = spark.createDataFrame([(0, " made up ", "benign")], "ordinal long, text string, label string")
+    found = adapters.registry({"sms-ham": sms, "llmail": mail, "jackhhao": broken, "synthetic": own})
+    assert [a.name for a in found] == ["jackhhao", "llmail", "sms-ham", "synthetic"]
+    failures = []
+    some = [C.Adapter(a.name, a.rows, a.cap_by, 2 if a.cap_by else a.cap and 60, a.page) for a in found]
+    got = C.merge(some, cut=lambda df: df.checkpoint(), failed=lambda name, e: failures.append(name))
+    by = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    # pages of 100 rows have 50 new texts each: the third begins when 100 are there, and is not taken
+    assert failures == ["jackhhao"] and by == {"llmail": 100, "sms-ham": 2, "synthetic": 1}
+
+
+def test_long_runs_of_space(spark):
+    import time
+
+    text = "a" + "\n" * 300_000 + "b"
+    began = time.time()
+    row = spark.createDataFrame([(text,), (" \n x  y\u00a0",)], "text string").select(T.strip(F.col("text")).alias("s"), T.dedup_key(F.col("text")).alias("k"), T.norm_text(F.col("text")).alias("n")).collect()
+    import hashlib
+
+    assert row[0].s == text and row[0].n == "a\n\nb" and row[0].k == hashlib.sha1(b"a b").hexdigest() and row[1].s == "x  y" and row[1].k == hashlib.sha1(b"x y").hexdigest()
+    assert time.time() - began < 20
+
+
+def test_budgets(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", None if i == 3 else i % 2 == 0) for i in range(20)], "n long, text string, h boolean")
+    got = C.budgeted(rows, F.col("h"), "n", 4, 3, 1).collect()
+    assert sorted(r.n for r in got if r.is_hard) == [0, 2, 4] and sorted(r.n for r in got if not r.is_hard) == [1, 3, 5, 7]
+    assert C.budgeted(rows.limit(0), F.col("h"), "n", 4, 3, 1).count() == 0

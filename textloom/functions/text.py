@@ -77,7 +77,8 @@ def in_form(text: Column, form: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{UNICODE}\A{SPACE}+|{SPACE}+\z", "")
+    # the end is looked for from a run's first place only, and a run is never given back: linear in long runs
+    return F.regexp_replace(text, rf"{UNICODE}\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def norm_text(text: Column, nfc: bool = True) -> Column:
@@ -90,7 +91,8 @@ def norm_text(text: Column, nfc: bool = True) -> Column:
 
 def dedup_key(text: Column) -> Column:
     """SHA-1 of the text without regard to case and the amount of space."""
-    return F.sha1(F.regexp_replace(F.lower(strip(text)), rf"{UNICODE}{SPACE}+", " "))
+    # runs first, so one space at most is left at either end
+    return F.sha1(F.trim(F.regexp_replace(F.lower(text), rf"{UNICODE}{SPACE}++", " ")))
 
 
 def hash_bucket(text: Column, modulo: int) -> Column:

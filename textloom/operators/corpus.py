@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import CHANNELS, LABELS, MAX_CHARS, MIN_CHARS, REAL_POSITIVE_FLOOR
+from .order import running, sliced
 
 
 @dataclass(frozen=True)
 class Adapter:
-    """A named source: a function that gives its rows, with their order in column `ordinal`, and caps on them."""
+    """A named source: a function that gives its rows, with their order in column `ordinal`, and caps on them.
+
+    cap: rows taken of each group of the columns cap_by; where `page` names a
+    column, whole pages are taken as long as fewer rows than that were accepted.
+    """
 
     name: str
     rows: Callable[[], DataFrame]
     cap_by: tuple[str, ...] = ()
     cap: int | None = None
+    page: str | None = None
 
 
 def finalize(rows: DataFrame, nfc: bool = True) -> DataFrame:
@@ -47,6 +53,13 @@ def capped(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataF
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= most).drop("_r")
 
 
+def whole_pages(rows: DataFrame, page: str, most: int, accepted: Column | None = None) -> DataFrame:
+    """Rows of the pages before which fewer than `most` rows were accepted."""
+    per = rows.groupBy(page).agg(F.sum(F.lit(1) if accepted is None else accepted).alias("_n"))
+    before = running(per, [], [sliced(page)], [page], F.col("_n"), "_before")
+    return rows.join(before.filter(F.col("_before") < most).select(page), page, "left_semi")
+
+
 def staged(rows: DataFrame, nfc: bool = True) -> DataFrame:
     """Rows with stage: bad, len or ok, and dk, the key of those that are ok."""
     rows = finalize(rows, nfc)
@@ -54,14 +67,32 @@ def staged(rows: DataFrame, nfc: bool = True) -> DataFrame:
     return rows.withColumn("stage", stage).withColumn("dk", F.when(F.col("stage") == "ok", T.dedup_key(F.col("text"))))
 
 
-def merge(adapters: list[Adapter], known: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None, nfc: bool = True) -> DataFrame:
+def merge(adapters: list[Adapter], known: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None, nfc: bool = True, failed: Callable[[str, Exception], None] | None = None) -> DataFrame | None:
     """The accepted rows of all adapters, in their order, as if row after row were added.
 
     Rejected rows do not claim a key. Without caps one window over all does it;
     with caps adapters follow one another, each against the keys accepted before.
     `known` has keys (dk) of rows that are there already; `cut` ends a lineage.
+
+    With `failed`, a source that fails does not stop the others: each source's
+    rows are written by `cut` (which is needed then) on their own, and for one
+    that raises, failed(name, exception) is called and its rows are left out.
+    With no source left the result is None.
     """
-    each = [a.rows().withColumn("adapter", F.lit(a.name)).withColumn("rank", F.lit(i)) for i, a in enumerate(adapters)]
+
+    def rows_of(a: Adapter, i: int) -> DataFrame | None:
+        if failed is None:
+            return a.rows().withColumn("adapter", F.lit(a.name)).withColumn("rank", F.lit(i))
+        try:
+            return cut(a.rows().withColumn("adapter", F.lit(a.name)).withColumn("rank", F.lit(i)))
+        except Exception as e:
+            failed(a.name, e)
+            return None
+
+    found = [(a, rows_of(a, i)) for i, a in enumerate(adapters)]
+    adapters, each = [a for a, rows in found if rows is not None], [rows for _, rows in found if rows is not None]
+    if not each:
+        return None
     if all(a.cap is None for a in adapters):
         rows = each[0]
         for more in each[1:]:
@@ -75,7 +106,8 @@ def merge(adapters: list[Adapter], known: DataFrame | None = None, cut: Callable
         for keys in (known, done):
             rows = rows if keys is None else rows.join(keys.select("dk"), "dk", "left_anti")
         rows = first_wins(rows, ["ordinal"])
-        rows = rows if a.cap is None else capped(rows, list(a.cap_by), ["ordinal"], a.cap)
+        if a.cap is not None:
+            rows = whole_pages(rows, a.page, a.cap).drop(a.page) if a.page else capped(rows, list(a.cap_by), ["ordinal"], a.cap)
         rows = rows if cut is None else cut(rows)
         done = rows if done is None else done.unionByName(rows, allowMissingColumns=True)
     return done
@@ -136,11 +168,10 @@ def bounded_sample(rows: DataFrame, most: int, seed: int, *keys: str) -> DataFra
 
 
 def budgeted(rows: DataFrame, hard: Column, order: str, plain_most: int, hard_most: int, modulo: int) -> DataFrame:
-    """The first hard rows and the first plain ones of one hash bucket, up to a budget each."""
-    rows = rows.withColumn("is_hard", hard)
-    rows = rows.filter(F.col("is_hard") | (T.hash_bucket(F.col("text"), modulo) == 0))
-    r = F.row_number().over(Window.partitionBy("is_hard").orderBy(order))
-    return rows.withColumn("_r", r).filter(F.col("_r") <= F.when(F.col("is_hard"), hard_most).otherwise(plain_most)).drop("_r")
+    """The first hard rows and the first plain ones of one hash bucket, up to a budget each. Rows for which `hard` is null are plain; an empty table gives an empty one."""
+    rows = rows.withColumn("is_hard", F.coalesce(hard, F.lit(False)))
+    some, plain = rows.filter("is_hard"), rows.filter(~F.col("is_hard") & (T.hash_bucket(F.col("text"), modulo) == 0))
+    return some.orderBy(order).limit(hard_most).unionByName(plain.orderBy(order).limit(plain_most))
 
 
 def spread_sample(rows: DataFrame, ordinal: str, total: int, pages: int, page: int = 100) -> DataFrame:

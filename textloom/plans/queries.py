@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -110,7 +110,8 @@ def bucket_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE doc_id % greatest(10, (SELECT max(doc_id) + 1 FROM documents) // 20) < 10")
 def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    total = docs.agg(F.max("doc_id")).first()[0] + 1
+    last = docs.agg(F.max("doc_id")).first()[0]
+    total = 0 if last is None else last + 1
     return C.spread_sample(docs, "doc_id", total, 20, 10).select("doc_id")
 
 
@@ -473,7 +474,7 @@ def type_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.jackhhao(raw).select("ordinal", "text", "label", "source", "channel")
 
 
-@query("WITH r AS (SELECT doc_id, text, ['English', 'German', 'Russian', 'Klingon'][doc_id % 4 + 1] AS name, ['yes', 'no', ''][doc_id % 3 + 1] AS harm FROM documents) SELECT doc_id AS ordinal, CASE name WHEN 'English' THEN 'en' WHEN 'German' THEN 'de' WHEN 'Russian' THEN 'ru' END AS lang, CASE harm WHEN 'yes' THEN 'injection' ELSE 'benign' END AS label, name <> 'English' AS is_translated FROM r WHERE name <> 'Klingon' AND harm <> '' AND (harm = 'no' OR name <> 'Russian')")
+@query("WITH r AS (SELECT doc_id, text, ['English', 'German', 'Russian', 'Klingon'][doc_id % 4 + 1] AS name, ['yes', 'no', ''][doc_id % 3 + 1] AS harm FROM documents) SELECT doc_id AS ordinal, CASE name WHEN 'English' THEN 'en' WHEN 'German' THEN 'de' WHEN 'Russian' THEN 'ru' END AS lang, CASE harm WHEN 'yes' THEN 'injection' ELSE 'benign' END AS label, false AS is_translated FROM r WHERE name <> 'Klingon' AND harm <> '' AND (harm = 'no' OR name <> 'Russian')")
 def metadata_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
     meta = F.concat(F.lit("{'language': '"), pick(("English", "German", "Russian", "Klingon")), F.lit("'}"))
@@ -487,10 +488,75 @@ def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.llmail_pages(raw, cap=200).select("doc_id")
 
 
+def _picked(values: tuple, by: str = "doc_id") -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(by) % len(values) + 1).cast("int"))
+
+
+def _adapted(rows: DataFrame) -> DataFrame:
+    return rows.select("ordinal", F.sha1("text").alias("sha1"), "label", "source", "license", "lang", "channel", "is_translated", "is_synthetic", "weak_seed", "group", "notes")
+
+
+def _adapted_sql(frm: str, label: str, source: str, license: str, channel: str, notes: str, lang: str = "''", text: str = "text", flag: str = "false") -> str:
+    return f"""SELECT doc_id AS ordinal, sha1({text}) AS sha1, {label} AS label, '{source}' AS source, {license} AS license, {lang} AS lang, {channel} AS channel, {flag} AS is_translated, {flag} AS is_synthetic, false AS weak_seed, '' AS "group", {notes} AS notes FROM {frm}"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").drop("lang").withColumn("ordinal", F.col("doc_id"))
+
+
+@query(_adapted_sql("documents", "CASE doc_id % 2 WHEN 1 THEN 'injection' ELSE 'benign' END", "deepset", "'apache-2.0'", "'chat'", "'split=' || ['train', 'test'][doc_id % 2 + 1]"))
+def source_deepset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adapted(adapters.deepset(_documents(spark, sf_dir).withColumn("label", F.col("doc_id") % 2).withColumn("split", _picked(("train", "test")))))
+
+
+@query(_adapted_sql("documents WHERE doc_id % 3 < 2", "['injection', 'benign'][doc_id % 3 + 1]", "jackhhao", "'apache-2.0'", "'chat'", "['jailbreak-class', 'jailbreak-ds-benign'][doc_id % 3 + 1]"))
+def source_jackhhao(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adapted(adapters.jackhhao(_documents(spark, sf_dir).withColumnRenamed("text", "prompt").withColumn("type", _picked((" Jailbreak", "benign", "other")))))
+
+
+@query(_adapted_sql("documents WHERE doc_id % 4 < 3", "['injection', 'benign', 'injection'][doc_id % 4 + 1]", "bipia", "'mit'", "['url_text', 'url_text', 'tool_result'][doc_id % 4 + 1]", "['text/Base Encoding', 'text/Programming Help', 'code/Data Eavesdropping'][doc_id % 4 + 1] || '/test'"))
+def source_bipia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and code attacks; the last of four categories is unknown."""
+    raw = _documents(spark, sf_dir).withColumn("category", _picked(("Base Encoding", "Programming Help", "Data Eavesdropping", "New"))).withColumn("kind", _picked(("text", "text", "code", "text"))).withColumn("split", F.lit("test"))
+    return _adapted(adapters.attacks(raw)[0])
+
+
+@query(_adapted_sql("documents WHERE doc_id % 3 < 2", "'injection'", "nemotron", "'cc-by-4.0'", "'tool_result'", "'agentic/shop/' || ['?', 'exfiltration'][doc_id % 2 + 1]", text="['goal ', 'text '][doc_id % 3 + 1] || doc_id"))
+def source_nemotron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as Python literals and as JSON; every third holds nothing."""
+    number = F.col("doc_id").cast("string")
+    record = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("{'injection_text': '', 'goal': 'goal "), number, F.lit("'}"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('{"injection_text": " text '), number, F.lit(' ", "goal": "g"}'))).otherwise("none")
+    return _adapted(adapters.nemotron(_documents(spark, sf_dir).select("doc_id", "ordinal", record.alias("injection"), F.lit("shop").alias("domain"), _picked((None, "exfiltration")).alias("attack_category"))))
+
+
+@query(_adapted_sql(f"documents WHERE doc_id % 2 = 0 OR length({Q.strip('text')}) > 0", "'injection'", "llmail", "'mit'", "'email'", "'satml2025 Phase1 s' || doc_id % 5", text=f"CASE doc_id % 2 WHEN 0 THEN {Q.strip(chr(39) + 'Hello' + chr(39) + ' || chr(10) || ' + Q.strip('text'))} ELSE {Q.strip('text')} END"))
+def source_llmail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _documents(spark, sf_dir).withColumnRenamed("text", "body").withColumn("subject", _picked((" Hello ", ""))).withColumn("split", F.lit("Phase1")).withColumn("scenario", F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string")))
+    return _adapted(adapters.llmail(raw))
+
+
+@query("WITH r AS (SELECT *, ['English', 'German', 'Russian', 'Klingon'][doc_id % 4 + 1] AS name, ['yes', 'no', ''][doc_id % 3 + 1] AS harm FROM documents) " + _adapted_sql(f"r WHERE name <> 'Klingon' AND harm <> '' AND (harm = 'no' OR name <> 'Russian') AND length({Q.strip('text')}) > 0", "CASE harm WHEN 'yes' THEN 'injection' ELSE 'benign' END", "polyguard", "'polyguard-card'", "'chat'", "CASE harm WHEN 'yes' THEN 'jailbreak-class' ELSE 'multilingual-benign' END", "['en', 'de', 'ru'][doc_id % 4 + 1]", Q.strip("text")))
+def source_polyguard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = F.concat(F.lit("{'language': '"), _picked(("English", "German", "Russian", "Klingon")), F.lit("'}"))
+    return _adapted(adapters.polyguard(_documents(spark, sf_dir).withColumnRenamed("text", "prompt").withColumn("prompt_harm_label", _picked(("Yes", "no", ""))).withColumn("metadata", meta)))
+
+
+@query(f"WITH r AS (SELECT *, {Q.any_of('text', T.FP_HARD_WORDS)} AS hard FROM documents WHERE doc_id % 3 = 0 AND text <> '') " + _adapted_sql(f"r WHERE hard OR {Q.bucket('text', 4)} = 0", "'benign'", "sms-ham", "['mit', 'unknown'][doc_id % 2 + 1]", "'sms'", "CASE WHEN hard THEN 'fp-hard' ELSE 'plain-benign' END", "'de'"))
+def source_sms_ham(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _documents(spark, sf_dir).withColumn("label", _picked(("ham", "ham", "phishing"))).withColumn("label_3class", _picked(("ham", "spam", "phishing"))).withColumn("language", F.lit("de")).withColumn("license", _picked(("mit", None)))
+    return _adapted(adapters.sms_ham(raw, 4))
+
+
+@query(_adapted_sql("documents", "'benign'", "synthetic-ml", "'own'", "'chat'", "'ml-benign/de'", "'de'", Q.strip("text"), "true"))
+def source_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _documents(spark, sf_dir).withColumns({"label": F.lit("benign"), "lang": F.lit("de"), "notes": F.lit("ml-benign/de")})
+    return _adapted(adapters.generated(raw, "synthetic-ml", "own", translated=True))
+
+
 # -- model seam ---------------------------------------------------------------
 
 
-@query(None)
+@query(f"WITH {Q.SCORED} SELECT doc_id, idx, score FROM scored")
 def score_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct window goes through the scorer once."""
     out = W.explode_windows(table(spark, sf_dir, "documents"), ["doc_id"])
