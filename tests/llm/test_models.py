@@ -23,25 +23,36 @@ def tokens(text):
 def brute_scores(learn, ask):
     u = Counter(w for t in learn for w in t)
     n, v = sum(u.values()), len(u)
-    b = Counter(p for t in learn for p in zip(["\t", *t], t))
-    f = Counter(w for _, w in b)
-    d, dl = (lm_score.discounts([Counter(c.values())[k] for k in (1, 2, 3, 4)]) for c in (b, f))
-    kinds, total = defaultdict(lambda: [0, 0, 0]), Counter()
-    for (first, _), c in b.items():
-        kinds[first][min(c, 3) - 1] += 1
-        total[first] += c
-    rest = sum(dl[min(c, 3)] for c in f.values()) / max(len(b), 1)
-    low = lambda w: max(f[w] - dl[min(f[w], 3)], 0) / max(len(b), 1) + rest / (v + 1)
+    threes = lambda t: zip(["\t", "\t", *t], ["\t", *t], t)
+    c3 = Counter(x for t in learn for x in threes(t))
+    c2 = Counter((b, c) for _, b, c in c3)  # how many different words stand before a pair
+    c1 = Counter(c for _, c in c2)
+    d3, d2, d1 = (lm_score.discounts([Counter(c.values())[k] for k in (1, 2, 3, 4)]) for c in (c3, c2, c1))
+
+    def after(counts):
+        kinds, total = defaultdict(lambda: [0, 0, 0]), Counter()
+        for key, c in counts.items():
+            kinds[key[:-1]][min(c, 3) - 1] += 1
+            total[key[:-1]] += c
+        return kinds, total
+
+    (k3, t3), (k2, t2) = after(c3), after(c2)
+    rest = sum(d1[min(c, 3)] for c in c1.values()) / max(len(c2), 1)
+    low = lambda w: max(c1[w] - d1[min(c1[w], 3)], 0) / max(len(c2), 1) + rest / (v + 1)
+
+    def over(key, p, counts, kinds, total, d):
+        if not total[key[:-1]]:
+            return p
+        c = counts[key]
+        return (max(c - d[min(c, 3)], 0) + sum(k * e for k, e in zip(kinds[key[:-1]], d[1:])) * p) / total[key[:-1]]
+
+    chance = lambda a, b, c: over((a, b, c), over((b, c), low(c), c2, k2, t2, d2), c3, k3, t3, d3)
     out = []
     for t in ask:
-        x = 0.0
-        for first, w in zip(["\t", *t], t):
-            p = low(w)
-            if total[first]:
-                c = b[first, w]
-                p = (max(c - d[min(c, 3)], 0) + sum(k * e for k, e in zip(kinds[first], d[1:])) * p) / total[first]
-            x += math.log10(p)
+        x = sum(math.log10(chance(*key)) for key in threes(t))
         out.append((len(t), sum(u[w] > 0 for w in t), sum(math.log10((u[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), x))
+    context = [*learn[0], "\t"][:2]
+    assert abs(sum(chance("\t", context[0], w) for w in [*u, "never seen"]) - 1) < 1e-9
     return out, low, u
 
 

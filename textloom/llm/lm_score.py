@@ -1,26 +1,31 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scores: an interpolated modified Kneser-Ney model of order 3.
 
-Counting runs in Spark. Every partition counts its own words or word pairs with
+Counting runs in Spark. Every partition counts its own words or word triples with
 numpy and cuts the sorted result into ranges; one shuffle brings a range's
 pieces to one task, which merges them and writes the sum as sorted arrays, one
 file for each range, into the shared folder:
 
 1. words: 64-bit hashes and counts. A word's number is its rank in that order.
-2. pairs: for each first word its second words, in order, with counts (one byte;
-   the few larger ones in a list of their own) and how many of them were seen
-   once, twice and more often. The pairs of a first word with more than its
-   share of all words are spread over all ranges by their second word.
-3. continuations: for each word, before it how many different words were seen.
-
-Workers map these files into memory and look up each distinct word and pair of
-a batch by binary search; nothing of the model is loaded, sent or broadcast but
-its sizes and the frequent first words (at most FREQUENT times the ranges).
-Ranges are as many as the input's partitions, so each stays as large as one.
-
-Probability of w after v: max(c(vw) - D(c(vw)), 0) / c(v) + L(v) * P(w), L(v)
-the discounted mass over c(v), P(w) the same from continuation counts, and below
-that 1 / (V + 1) for each of V words and an unknown one. D for counts of one,
-two, and three or more comes from the counts of counts.
+2. triples, by their middle word v, so that both what follows (u, v) and what
+   stands before (v, w) is in one place: for each v the words u before it; for
+   each (u, v) the words w after it, in order, with counts; and for each (v, w)
+   how many different u were seen. The triples of a middle word with more than
+   its share of all words are spread over all ranges by u.
+3. continuations: for each w, before it how many different v were seen, and the
+   sums of (v, w) whose v is spread.
+
+Counts take one byte, the few larger ones stand in lists of their own. Pieces are
+packed (differences, bytes by place, zstd) before they are shuffled. Workers map
+the files into memory and look up each distinct word, pair and triple of a batch
+by binary search; nothing of the model is loaded, sent or broadcast but its sizes
+and the frequent words (FREQUENT times the ranges at most). Ranges are as many as
+the session's shuffle partitions, however the input is split.
+
+P(w | u v) = max(c(uvw) - D(c(uvw)), 0) / c(uv) + L(uv) * P(w | v), L the
+discounted mass over c(uv), with P(w | v) the same from the numbers of different
+words before (v, w), P(w) from those before w, and below that 1 / (V + 1) for
+each of V words and an unknown one. D for counts of one, two, and three or more
+comes from the counts of counts. A text begins with two marks that are no words.
 """
 
 from __future__ import annotations
@@ -30,24 +35,25 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cells, publish, scratch
 
-SPACES = r"[\x20\x09-\x0D]+"
-#: Stand-ins for the end and the beginning of a text; no word holds white space.
-END, BEGIN = "\n", "\t"
-#: Words or pairs that a task holds before it sorts and sends them.
-HELD = 6_000_000
-#: A first word is frequent if it has more than 1 / FREQUENT of a range's words.
+#: Stand-in for the end of a text; no word holds white space.
+END = b"\n"
+#: Words or triples that a task holds before it sorts and sends them, and words that a worker remembers.
+HELD, REMEMBERED = 4_000_000, 400_000
+#: A word is frequent if it has more than 1 / FREQUENT of a range's words.
 FREQUENT = 4
-ROWS = 500
-BLOCK = "part int, keys binary, counts binary"
+#: Texts of a batch, and followers from which a pair's sums are stored.
+ROWS, MANY = 500, 16
+BLOCK = "part int, data binary"
 
 
 def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -88,102 +94,208 @@ def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(raw, np.dtype(d), size, 8 + n + at) for k, (d, size, at) in about.items()}
 
 
-def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The tokens of a batch in order, as numbers of its distinct words, each text with its end; the text each is of; the words' hashes; the end's number."""
-    from xxhash import xxh64_intdigest
+class Lexicon(dict):
+    """Own numbers for words, in the order in which they are met, with their hashes; END is 0."""
 
-    # a new array, as the kernels below misread slices of another one's buffers
-    whole = pa.array([x or "" for x in texts.to_pylist()], pa.large_string())
-    split = pc.split_pattern_regex(pc.ascii_lower(whole), SPACES)
-    flat, of = pc.list_flatten(split), pc.list_parent_indices(split)
-    some = pc.not_equal(pc.binary_length(flat), 0)
-    coded = flat.filter(some).dictionary_encode()
-    own, of = coded.indices.to_numpy(zero_copy_only=False), of.filter(some).to_numpy(zero_copy_only=False)
-    hashes = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()] + [xxh64_intdigest(END)], np.uint64)
-    sizes = np.bincount(of, minlength=len(texts)) + 1
-    ends = np.cumsum(sizes) - 1
-    tokens = np.full(int(sizes.sum()), len(hashes) - 1, np.int64)
-    inner = np.ones(len(tokens), bool)
-    inner[ends] = False
-    tokens[inner] = own
-    return tokens, np.repeat(np.arange(len(texts)), sizes), hashes, len(hashes) - 1
+    def __init__(self):
+        super().__init__()
+        self.words: list[bytes] = []
+        self.hashes = np.empty(0, np.uint64)
+        self[END]
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of texts in order, each text with its end, and the number of each text's."""
+        found = [[*(x or "").encode("utf-8", "surrogatepass").lower().split(), END] for x in texts.to_pylist()]  # bytes know white space and letters of ASCII only
+        sizes = np.array([len(w) for w in found], np.int64)
+        tokens = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        if len(self.words) > len(self.hashes):
+            from xxhash import xxh64_intdigest
+
+            new = np.array([xxh64_intdigest(w) for w in self.words[len(self.hashes) :]], np.uint64)
+            self.hashes = np.concatenate((self.hashes, new))
+        return tokens, sizes
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(counts, first)
 
 
+def summed_pairs(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (high, low) in order, with the sums of their counts. low has 32 bits."""
+    if not len(high):
+        return high, low, counts
+    order = np.lexsort((low, high)) if len(high) < 2 else _order(high, low)
+    high, low, counts = high[order], low[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1]))))
+    return high[first], low[first], np.add.reduceat(counts, first)
+
+
+def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The order of (high, low); by one sort where what differs in them fits 64 bits."""
+    v, u, w = high >> np.uint64(32), high & np.uint64(0xFFFFFFFF), low.astype(np.uint64)
+    v = v - v.min()
+    bits = [int(x.max()).bit_length() for x in (v, u, w)]
+    if sum(bits) > 64:
+        return np.lexsort((low, high))
+    return np.argsort((v << np.uint64(bits[1] + bits[2])) | (u << np.uint64(bits[2])) | w)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as bytes: the first, sorted one by differences; bytes of a place stand together."""
+    import zstandard
+
+    planes = []
+    for k, x in enumerate(arrays):
+        x = np.diff(x, prepend=x.dtype.type(0)) if k == 0 else x
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    n, at, out = len(raw) // width, 0, []
+    for j, kind in enumerate(kinds):
+        size = np.dtype(kind).itemsize
+        x = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).reshape(n)
+        out.append(np.cumsum(x, dtype=kind) if j == 0 else x)
+        at += n * size
+    return out
+
+
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """The range of a hash; ranges follow the order of hashes."""
     return (((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def blocks(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each range that has keys."""
+def number_range(numbers: np.ndarray, ranges: int, words: int) -> np.ndarray:
+    """The range of a word's number; ranges follow the order of numbers."""
+    return np.minimum(numbers.astype(np.int64) * ranges // (words + 1), ranges - 1)
+
+
+def blocks(part: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each range that has entries; arrays are in the order of the first."""
     order = np.argsort(part, kind="stable")
     parts, first = np.unique(part[order], return_index=True)
     for p, own in zip(parts.tolist(), np.split(order, first[1:])):
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([counts[own].astype(np.uint32).tobytes()], pa.binary())], names=["part", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed(*(x[own] for x in arrays))], pa.binary())], names=["part", "data"])
 
 
-def counted(docs: DataFrame, text: str, find: Callable, split: Callable) -> DataFrame:
-    """Blocks of counts of what find(batch) gives for each batch of texts, cut by split(keys)."""
+def counted(docs: DataFrame, text: str, find: Callable, add: Callable, split: Callable) -> DataFrame:
+    """Blocks of the sums, by add(), of what find(texts) gives for each batch of texts, cut by split()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 held.append(find(batch.column(0).slice(at, ROWS)))
                 size += len(held[-1][0])
                 if size >= HELD:
-                    held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                    held = [add(*(np.concatenate(x) for x in zip(*held)))]
                     size = len(held[0][0])
                     if size >= HELD // 2:
-                        yield from blocks(*held[0], split(held[0][0]))
+                        yield from blocks(split(*held[0]), *held[0])
                         held, size = [], 0
         if held:
-            keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
-            yield from blocks(keys, counts, split(keys))
+            found = add(*(np.concatenate(x) for x in zip(*held)))
+            yield from blocks(split(*found), *found)
 
     return docs.select(text).mapInArrow(run, BLOCK)
 
 
-def merged(found: DataFrame, ranges: int, write: Callable, schema: str) -> DataFrame:
-    """What write(part, keys, counts) gives, as batches, for the sums of each range."""
+def merged(found: DataFrame, ranges: int, kinds: tuple, add: Callable, write: Callable, schema: str) -> DataFrame:
+    """What write(part, sums) gives, as batches, for the sums of each range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, size = None, [], 0
+
+        def total() -> tuple[np.ndarray, ...]:
+            return add(*(np.concatenate(x) for x in zip(*held)))
+
         for batch in batches:
-            for part, keys, counts in zip(batch.column("part").to_pylist(), batch.column("keys"), batch.column("counts")):
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
                 if part != current:
                     if held:
-                        yield from write(current, *summed(*(np.concatenate(x) for x in zip(*held))))
+                        yield from write(current, *total())
                     current, held, size = part, [], 0
-                held.append((np.frombuffer(keys.as_buffer(), np.uint64).copy(), np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)))
-                size += len(held[-1][0])
+                *keys, counts = unpacked(data.as_buffer(), *kinds)
+                held.append((*keys, counts.astype(np.int64)))
+                size += len(counts)
                 if size >= HELD:
-                    held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                    held = [total()]
                     size = len(held[0][0]) // 2
         if held:
-            yield from write(current, *summed(*(np.concatenate(x) for x in zip(*held))))
+            yield from write(current, *total())
 
     return found.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
+def one_byte(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts up to 254 as bytes, and the places and values of the others."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), large.astype(np.uint32), counts[large].astype(np.uint64)
+
+
+def count_at(f: dict[str, np.ndarray], name: str, place: np.ndarray) -> np.ndarray:
+    c = f[name][place].astype(np.int64)
+    big = np.flatnonzero(c == 255)
+    if len(big):
+        c[big] = f[f"{name}_large"][np.searchsorted(f[f"{name}_large_at"], place[big])]
+    return c
+
+
+def among(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted value in its own stretch [low, high) of sorted values, and whether it is there."""
+    low, top = low.copy(), high
+    high = high.copy()
+    while (todo := np.flatnonzero(low < high)).size:
+        middle = (low[todo] + high[todo]) >> 1
+        less = values[middle] < wanted[todo]
+        low[todo] = np.where(less, middle + 1, low[todo])
+        high[todo] = np.where(less, high[todo], middle)
+    place = np.minimum(low, max(len(values) - 1, 0))
+    hit = low < top
+    if len(values):
+        hit &= values[place] == wanted
+    return place, hit
+
+
 class Words:
-    """The numbers and counts of words."""
+    """The numbers and counts of words; those met before are remembered."""
 
     def __init__(self, folder: str, sizes: list[int]):
         self.folder, self.ranges = folder, len(sizes)
         self.bases = np.concatenate(([0], np.cumsum(sizes)))
         self.files: dict[int, dict[str, np.ndarray]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.lexicon = Lexicon()
+        self.numbers, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens as places in self.numbers and self.counts, and the number of each text's."""
+        if len(self.lexicon.words) > REMEMBERED:
+            self.forget()
+        tokens, sizes = self.lexicon.read(texts)
+        if len(self.lexicon.hashes) > len(self.numbers):
+            found = self.find(self.lexicon.hashes[len(self.numbers) :])
+            self.numbers, self.counts = np.concatenate((self.numbers, found[0])), np.concatenate((self.counts, found[1]))
+        return tokens, sizes
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1 for unknown words) and counts."""
@@ -207,11 +319,31 @@ class Words:
         return numbers[back], counts[back]
 
 
-def pair_part(keys: np.ndarray, ranges: int, words: int, frequent: np.ndarray) -> np.ndarray:
-    """The range of a pair: that of its first word, or of its second one where the first is frequent."""
-    first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    by = np.where(np.isin(first, frequent), second, first)
-    return np.minimum(by * ranges // (words + 1), ranges - 1)
+def before(w: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the word two before it and the one before it, `begin` where the text begins."""
+    starts = np.cumsum(sizes) - sizes
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[starts] = begin
+    u = np.empty_like(w)
+    u[1:] = v[:-1]
+    u[starts] = begin
+    return u, v
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two numbers of 32 bits as one."""
+    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+
+
+def parted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def triple_range(vu: np.ndarray, ranges: int, words: int, frequent: np.ndarray) -> np.ndarray:
+    """The range of a triple by (v, u): that of v, or of u where v is frequent."""
+    v, u = parted(vu)
+    return number_range(np.where(np.isin(v, frequent), u, v), ranges, words)
 
 
 def discounts(counts: list[int]) -> np.ndarray:
@@ -222,6 +354,11 @@ def discounts(counts: list[int]) -> np.ndarray:
     return np.array([min(max(d, 0.0), k - 0.05) if k else 0.0 for k, d in enumerate(out)])
 
 
+def count_kinds(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4, and how many there are."""
+    return [*(int((counts == k + 1).sum()) for k in range(4)), len(counts)]
+
+
 class Model:
     """A model whose arrays lie in a folder; only its sizes are held."""
 
@@ -230,176 +367,269 @@ class Model:
         self.words = Words(folder, about["sizes"])
         self.n, self.v, self.ranges = about["tokens"], sum(about["sizes"]), len(about["sizes"])
         self.frequent = np.array(sorted(int(k) for k in about["frequent"]), np.int64)
-        self.sums = {int(k): x for k, x in about["frequent"].items()}
-        self.d, self.d_low = discounts(about["pair_counts"]), discounts(about["follow_counts"])
-        self.types = max(about["types"], 1)
-        f = about["follow_counts"]
+        #: Of each frequent word: different pairs (u, w) around it, and (v, w) with 1, 2, and more u.
+        self.sums = np.array([about["frequent"][str(k)] for k in self.frequent.tolist()], np.float64).reshape(-1, 4)
+        self.d3, self.d2, self.d1 = (discounts(about[k][:4]) for k in ("triples", "pairs", "follows"))
+        self.types = max(about["pairs"][4], 1)
+        f = about["follows"]
         # with nothing to learn from, all is left to the one unknown word
-        self.rest = float((self.d_low[1] * f[0] + self.d_low[2] * f[1] + self.d_low[3] * (about["followers"] - f[0] - f[1])) / self.types) if about["types"] else 1.0
+        self.rest = float((self.d1[1] * f[0] + self.d1[2] * f[1] + self.d1[3] * (f[4] - f[0] - f[1])) / self.types) if about["pairs"][4] else 1.0
+        self.there = {k: set(x) for k, x in about["there"].items()}
         self.files: dict[tuple[str, int], dict[str, np.ndarray]] = {}
 
-    def file(self, kind: str, part: int) -> dict[str, np.ndarray]:
-        if (kind, part) not in self.files:
-            self.files[kind, part] = map_arrays(self.folder, f"{kind}-{part}")
-        return self.files[kind, part]
-
-    def low(self, number: np.ndarray) -> np.ndarray:
-        """P(w); for -1 that of an unknown word."""
-        follows = np.zeros(len(number), np.int64)
-        part = np.where(number < 0, -1, np.minimum(number * self.ranges // (self.v + 1), self.ranges - 1))
-        for p in np.unique(part[part >= 0]).tolist():
-            own = np.flatnonzero(part == p)
-            f = self.file("follows", p)
-            at = np.minimum(np.searchsorted(f["words"], number[own]), max(len(f["words"]) - 1, 0))
-            if len(f["words"]):
-                follows[own] = np.where(f["words"][at] == number[own], f["counts"][at], 0)
-        return np.maximum(follows - self.d_low[np.minimum(follows, 3)], 0) / self.types + self.rest / (self.v + 1)
-
-    def pairs(self, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the pairs, and L of their first words times its count; seen: the first words' counts. Keys are in order."""
-        count, mass = np.zeros(len(keys), np.int64), np.zeros(len(keys))
-        part = pair_part(keys, self.ranges, self.v, self.frequent)
+    def by_range(self, kind: str, part: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        """Each range's file, with the places whose range it is; ranges without a file are left out."""
         order = np.argsort(part, kind="stable")
         parts, starts = np.unique(part[order], return_index=True)
         for p, own in zip(parts.tolist(), np.split(order, starts[1:])):
-            f = self.file("pairs", p)
-            if not len(f["first"]):
-                continue
-            first, second = (keys[own] >> np.uint64(32)).astype(np.uint32), (keys[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            at = np.minimum(np.searchsorted(f["first"], first), len(f["first"]) - 1)
-            known = f["first"][at] == first
-            low, high = f["offsets"][at].astype(np.int64), f["offsets"][at + 1].astype(np.int64)
-            top = high.copy()
-            while (todo := np.flatnonzero(low < high)).size:
-                middle = (low[todo] + high[todo]) >> 1
-                less = f["second"][middle] < second[todo]
-                low[todo] = np.where(less, middle + 1, low[todo])
-                high[todo] = np.where(less, high[todo], middle)
-            place = np.minimum(low, len(f["second"]) - 1)
-            hit = known & (low < top) & (f["second"][place] == second)
-            c = np.where(hit, f["counts"][place], 0).astype(np.int64)
-            big = np.flatnonzero(c == 255)
-            if len(big):
-                c[big] = f["large"][np.searchsorted(f["large_at"], place[big])]
-            count[own] = c
-            mass[own] = np.where(known, self.d[1] * f["once"][at] + self.d[2] * f["twice"][at] + self.d[3] * f["more"][at], 0.0)
-        if len(self.frequent):  # parts of these are in all ranges; their sums are known
-            first = (keys >> np.uint64(32)).astype(np.int64)
-            at = np.minimum(np.searchsorted(self.frequent, first), len(self.frequent) - 1)
-            sums = np.array([self.sums[k] for k in self.frequent.tolist()], float) @ self.d[1:]
-            mass = np.where(self.frequent[at] == first, sums[at], mass)
-        return count, mass
+            if p in self.there[kind]:
+                if (kind, p) not in self.files:
+                    self.files[kind, p] = map_arrays(self.folder, f"{kind}-{p}")
+                yield self.files[kind, p], own
+
+    def single(self, number: np.ndarray) -> np.ndarray:
+        """P(w); for -1 that of an unknown word."""
+        follows = np.zeros(len(number), np.int64)
+        for f, own in self.by_range("follows", np.where(number < 0, -1, number_range(number, self.ranges, self.v))):
+            place = np.minimum(np.searchsorted(f["words"], number[own].astype(np.uint32)), len(f["words"]) - 1)
+            follows[own] = np.where(f["words"][place] == number[own], f["counts"][place], 0)
+        return np.maximum(follows - self.d1[np.minimum(follows, 3)], 0) / self.types + self.rest / (self.v + 1)
+
+    def pairs(self, vw: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """P(w | v) of distinct pairs in order; low: their P(w). Neither word is unknown, or only w (all ones)."""
+        v, w = parted(vw)
+        count, mass, total = (np.zeros(len(vw)) for _ in range(3))
+        spread = np.isin(v, self.frequent)
+        for f, own in self.by_range("triples", np.where(spread, -1, number_range(v, self.ranges, self.v))):
+            at = np.minimum(np.searchsorted(f["v"], v[own].astype(np.uint32)), len(f["v"]) - 1)
+            known = f["v"][at] == v[own]
+            lo, hi = f["v_pairs"][at].astype(np.int64), f["v_pairs"][at + 1].astype(np.int64)
+            place, hit = among(f["w2"], lo, np.where(known, hi, lo), w[own].astype(np.uint32))
+            hit &= known
+            count[own[hit]] = count_at(f, "c2", place[hit])
+            one, two = f["one"][at].astype(np.int64), f["two"][at].astype(np.int64)
+            mass[own] = np.where(known, self.d2[1] * one + self.d2[2] * two + self.d2[3] * (hi - lo - one - two), 0)
+            total[own] = np.where(known, f["total"][at], 0)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, v), len(self.frequent) - 1)
+            total = np.where(spread, self.sums[at, 0], total)
+            mass = np.where(spread, self.sums[at, 1:] @ self.d2[1:], mass)
+            for f, own in self.by_range("spread", np.where(spread & (w != 0xFFFFFFFF), number_range(w, self.ranges, self.v), -1)):
+                place = np.minimum(np.searchsorted(f["keys"], vw[own]), len(f["keys"]) - 1)
+                hit = f["keys"][place] == vw[own]
+                count[own[hit]] = f["counts"][place[hit]]
+        some = total > 0
+        p = low.copy()
+        kinds = np.minimum(count[some], 3).astype(np.int64)
+        p[some] = (np.maximum(count[some] - self.d2[kinds], 0) + mass[some] * low[some]) / total[some]
+        return p
+
+    def triples(self, vu: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of triples, in order, with the total of (u, v) and its discounted mass; first: the place of each (v, u)'s first triple."""
+        own_vu = vu[first]
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(vu))))
+        v, u = parted(own_vu)
+        count, total, mass = np.zeros(len(vu), np.int64), np.zeros(len(first)), np.zeros(len(first))
+        where = np.append(first, len(vu))
+        for f, own in self.by_range("triples", triple_range(own_vu, self.ranges, self.v, self.frequent)):
+            at = np.minimum(np.searchsorted(f["v"], v[own].astype(np.uint32)), len(f["v"]) - 1)
+            known = f["v"][at] == v[own]
+            lo = f["v_before"][at].astype(np.int64)
+            place, hit = among(f["u"], lo, np.where(known, f["v_before"][at + 1].astype(np.int64), lo), u[own].astype(np.uint32))
+            own, place = own[hit & known], place[hit & known]
+            begin, end = f["after"][place].astype(np.int64), f["after"][place + 1].astype(np.int64)
+            total[own], mass[own] = self.sums_of(f, place, begin, end)
+            size = where[own + 1] - where[own]
+            mine = np.repeat(where[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(own) else np.empty(0, np.int64)
+            at3, hit3 = among(f["w3"], np.repeat(begin, size), np.repeat(end, size), w[mine].astype(np.uint32))
+            count[mine[hit3]] = count_at(f, "c3", at3[hit3])
+        return count, total[group], mass[group]
+
+    def sums_of(self, f: dict[str, np.ndarray], place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The total and the discounted mass of what follows pairs: stored for those with many followers, else added up."""
+        total, one, two = (np.zeros(len(place), np.int64) for _ in range(3))
+        n = end - begin
+        for j in range(MANY):
+            some = np.flatnonzero((n > j) & (n < MANY))
+            if not len(some):
+                break
+            c = count_at(f, "c3", begin[some] + j)
+            total[some] += c
+            one[some] += c == 1
+            two[some] += c == 2
+        many = np.flatnonzero(n >= MANY)
+        if len(many):
+            at = np.searchsorted(f["many"], place[many].astype(np.uint32))
+            total[many], one[many], two[many] = (f[k][at] for k in ("many_total", "many_one", "many_two"))
+        return total.astype(np.float64), self.d3[1] * one + self.d3[2] * two + self.d3[3] * (n - one - two)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
-        tokens, of, hashes, _ = words_in(texts)
-        numbers, counts = self.words.find(hashes)
-        low = self.low(numbers)
-        w, v = numbers[tokens], np.empty(len(tokens), np.int64)
-        v[1:] = w[:-1]
-        begins = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.empty(0, bool)
-        v[begins] = self.v
-        seen = np.empty(len(tokens), np.int64)
-        seen[1:] = counts[tokens[:-1]]
-        seen[begins] = self.about["texts"]
-        p = low[tokens]
-        ask = np.flatnonzero((v >= 0) & (seen > 0))
-        keys = (v[ask].astype(np.uint64) << np.uint64(32)) | np.where(w[ask] < 0, 0xFFFFFFFF, w[ask]).astype(np.uint64)
-        kinds, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        c, mass = self.pairs(kinds, seen[ask][first])
-        c, mass = c[back], mass[back]
-        p[ask] = (np.maximum(c - self.d[np.minimum(c, 3)], 0) + mass * p[ask]) / seen[ask]
+        tokens, sizes = self.words.read(texts)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        kinds, tokens = np.unique(tokens, return_inverse=True)
+        numbers, counts = self.words.numbers[kinds], self.words.counts[kinds]
+        single = self.single(numbers)
+        w = numbers[tokens]
+        u, v = before(w, sizes, self.v)
+        w = np.where(w < 0, 0xFFFFFFFF, w)
+        p = single[tokens]
+        ask = np.flatnonzero(v >= 0)
+        vw, first, back = np.unique(joined(v[ask], w[ask]), return_index=True, return_inverse=True)
+        p[ask] = self.pairs(vw, p[ask][first])[back]
+        ask = np.flatnonzero((v >= 0) & (u >= 0))
+        order = ask[_order(joined(v[ask], u[ask]), w[ask])] if len(ask) else ask
+        vu, ww = joined(v[order], u[order]), w[order]
+        new = np.concatenate(([True], vu[1:] != vu[:-1])) if len(vu) else np.empty(0, bool)
+        count, total, mass = self.triples(vu, ww, np.flatnonzero(new))
+        some = total > 0
+        order, count = order[some], count[some]
+        p[order] = (np.maximum(count - self.d3[np.minimum(count, 3)], 0) + mass[some] * p[order]) / total[some]
         add = lambda x: np.bincount(of, x, minlength=len(texts))
         base = np.log10((counts + 0.1) / (self.n + 0.1 * (self.v + 1)))
-        return add(np.ones(len(of))).astype(np.int64), add((counts > 0)[tokens]).astype(np.int64), add(base[tokens]), add(np.log10(p))
+        return sizes, add((counts > 0)[tokens]).astype(np.int64), add(base[tokens]), add(np.log10(p))
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go when it has ended, as nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[str, dict]:
     """Learns from all rows of docs; gives the model's folder and what a Model needs to know of it."""
-    ranges = max(1, docs.rdd.getNumPartitions())
-    folder = scratch(docs.sparkSession, "lm")
+    spark = docs.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = scratch(spark, "lm")
 
     def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        tokens, _, hashes, _ = words_in(texts)
-        return hashes, np.bincount(tokens, minlength=len(hashes))
+        lexicon = cells("lm-lexicon")
+        if "it" not in lexicon or len(lexicon["it"].words) > REMEMBERED:
+            lexicon["it"] = Lexicon()
+        tokens, _ = lexicon["it"].read(texts)
+        counts = np.bincount(tokens, minlength=len(lexicon["it"].hashes))
+        some = np.flatnonzero(counts)
+        return lexicon["it"].hashes[some], counts[some].astype(np.uint32)
 
     def write_words(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         write_arrays(folder, f"words-{part}", {"hashes": keys, "counts": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)})
-        large = np.argsort(-counts, kind="stable")[: FREQUENT * ranges]  # no more than these can have their share
-        large = large[counts[large] * FREQUENT * ranges >= counts.sum()]
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([large.tolist()], pa.list_(pa.int64())), pa.array([counts[large].tolist()], pa.list_(pa.int64()))], names=["part", "n", "tokens", "at", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["part", "n", "tokens"])
 
-    found = merged(counted(docs, text, words, lambda keys: range_of(keys, ranges)), ranges, write_words, "part int, n bigint, tokens bigint, at array<bigint>, counts array<bigint>").collect()  # a row for each range
+    def narrow(*found: np.ndarray) -> tuple[np.ndarray, ...]:
+        return (*found[:-1], found[-1].astype(np.uint32))
+
+    with shuffles_cleaned(spark):
+        pieces = counted(docs, text, words, lambda *x: narrow(*summed(*x)), lambda keys, _: range_of(keys, ranges))
+        found = merged(pieces, ranges, (np.uint64, np.uint32), summed, write_words, "part int, n bigint, tokens bigint").collect()  # a row for each range
     sizes = [0] * ranges
     for r in found:
         sizes[r["part"]] = r["n"]
     bases = np.concatenate(([0], np.cumsum(sizes)))
     v, n = int(bases[-1]), sum(r["tokens"] for r in found)
-    if v >= (1 << 32) - 1:
+    if v >= (1 << 32) - 2:
         raise OverflowError("the model numbers words with 32 bits")
-    frequent = np.array(sorted([int(bases[r["part"]]) + a for r in found for a, c in zip(r["at"], r["counts"]) if c * FREQUENT * ranges > n] + [v]), np.int64)
 
-    def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def find_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                if sizes[part]:
+                    counts = map_arrays(folder, f"words-{part}")["counts"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts * float(FREQUENT * ranges) > n) + bases[part], pa.int64())], names=["word"])
+
+    # of all words together, FREQUENT times the ranges at most can have such a share
+    large = spark.range(0, ranges, 1, ranges).mapInArrow(find_frequent, "word bigint").collect()
+    frequent = np.array(sorted(r["word"] for r in large), np.int64)
+
+    def triples(texts: pa.Array) -> tuple[np.ndarray, ...]:
         store = cells("lm")
         if folder not in store:
             store.clear()
             store[folder] = Words(folder, sizes)
-        tokens, of, hashes, _ = words_in(texts)
-        w = store[folder].find(hashes)[0][tokens]
-        first = np.empty(len(w), np.int64)
-        first[1:] = w[:-1]
-        first[np.concatenate(([True], of[1:] != of[:-1])) if len(of) else slice(0, 0)] = v
-        return summed((first.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), np.ones(len(w), np.int64))
-
-    def write_pairs(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first, second = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-        kinds = {k: np.add.reduceat(x.astype(np.uint32), starts) for k, x in (("once", counts == 1), ("twice", counts == 2), ("more", counts > 2))}
-        large = np.flatnonzero(counts >= 255)
-        write_arrays(folder, f"pairs-{part}", {"first": first[starts], "offsets": np.append(starts, len(keys)).astype(np.uint32), **kinds, "second": second, "counts": np.minimum(counts, 255).astype(np.uint8), "large_at": large.astype(np.uint32), "large": counts[large].astype(np.uint32)})
-        # to the ranges of second words: by how many first words each was preceded
-        after, follows = np.unique(second, return_counts=True)
-        yield from blocks(after.astype(np.uint64), follows, np.minimum(after.astype(np.int64) * ranges // (v + 1), ranges - 1))
-        # and, as range -1: counts of counts, and the sums of frequent first words
-        mine = np.flatnonzero(np.isin(first[starts], frequent))
-        about = [(k, int((counts == k + 1).sum())) for k in range(4)] + [(4, len(keys))] + [(8 + 4 * int(first[starts][i]) + k, int(x[i])) for i in mine for k, x in enumerate(kinds.values())]
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([k for k, _ in about], np.uint64).tobytes()], pa.binary()), pa.array([np.array([x for _, x in about], np.uint32).tobytes()], pa.binary())], names=["part", "keys", "counts"])
+        tokens, own = store[folder].read(texts)
+        w = store[folder].numbers[tokens]
+        u, m = before(w, own, v)
+        return joined(m, u), w.astype(np.uint32), np.ones(len(w), np.uint32)
+
+    def write_triples(part: int, vu: np.ndarray, w: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate(([True], vu[1:] != vu[:-1])))
+        middle, u = parted(vu[first])
+        v_first = np.flatnonzero(np.concatenate(([True], middle[1:] != middle[:-1])))
+        after = np.append(first, len(vu))
+        out = {"v": middle[v_first].astype(np.uint32), "v_before": np.append(v_first, len(middle)).astype(np.uint32), "u": u.astype(np.uint32), "after": after.astype(np.uint32), "w3": w.astype(np.uint32)}
+        out |= dict(zip(("c3", "c3_large_at", "c3_large"), one_byte(counts)))
+        n_after = np.diff(after)
+        many = np.flatnonzero(n_after >= MANY)
+        out["many"] = many.astype(np.uint32)
+        for k, x in (("many_total", counts), ("many_one", counts == 1), ("many_two", counts == 2)):
+            out[k] = np.add.reduceat(x.astype(np.int64), first)[many].astype(np.uint64)
+        # (v, w), with the number of different u
+        vw, before_vw = summed(joined(np.repeat(middle, n_after), w), np.ones(len(vu), np.int64))
+        second = parted(vw)[0]
+        spread = np.isin(second, frequent)
+        mine, mine_n, second = vw[~spread], before_vw[~spread], second[~spread]
+        # a frequent v has no pairs here: its stretch is empty
+        v_pairs = np.append(np.searchsorted(second, middle[v_first]), len(second))
+        out |= {"v_pairs": v_pairs.astype(np.uint32), "w2": parted(mine)[1].astype(np.uint32)}
+        out |= dict(zip(("c2", "c2_large_at", "c2_large"), one_byte(mine_n)))
+        running = lambda x: np.concatenate(([0], np.cumsum(x)))
+        for k, x in (("total", mine_n), ("one", mine_n == 1), ("two", mine_n == 2)):
+            sums = running(x)
+            out[k] = (sums[v_pairs[1:]] - sums[v_pairs[:-1]]).astype(np.uint64 if k == "total" else np.uint32)
+        write_arrays(folder, f"triples-{part}", out)
+        # to the ranges of w: how many different v, of those that are not spread, were seen before it; and the pairs of the others
+        follower, n_before = np.unique(parted(mine)[1], return_counts=True)
+        keys = np.concatenate((joined(np.full(len(follower), 0xFFFFFFFF), follower), vw[spread]))
+        sums = np.concatenate((n_before, before_vw[spread])).astype(np.uint32)
+        order = np.argsort(keys)
+        yield from blocks(number_range(parted(keys[order])[1], ranges, v), keys[order], sums[order])
+        about = np.array([*count_kinds(counts), *count_kinds(mine_n)], np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(np.arange(len(about), dtype=np.uint64), about)], pa.binary())], names=["part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(np.array([1 << 40 | part], np.uint64), np.array([1], np.uint32))], pa.binary())], names=["part", "data"])
 
     def write_follows(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if part < 0:
-            out = [keys.astype(np.int64).tolist(), counts.tolist()]
+            rows = [("about", keys.tolist(), counts.tolist())]
         else:
-            write_arrays(folder, f"follows-{part}", {"words": keys.astype(np.uint32), "counts": counts.astype(np.uint32)})
-            out = [[*range(5)], [int((counts == k + 1).sum()) for k in range(4)] + [len(counts)]]
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in out)], names=["part", "keys", "counts"])
-
-    made = merged(counted(docs, text, pairs, lambda keys: pair_part(keys, ranges, v, frequent)), ranges, write_pairs, BLOCK)
-    rows = merged(made, ranges, write_follows, "part int, keys array<bigint>, counts array<bigint>").collect()  # a row for each range
-    pair, follow, sums = [0] * 5, [0] * 5, {}
-    for r in rows:
-        for k, c in zip(r["keys"], r["counts"]):
-            if r["part"] >= 0:
-                follow[k] += c
-            elif k < 5:
-                pair[k] += c
+            second, w = parted(keys)
+            spread = second != 0xFFFFFFFF
+            if spread.any():
+                write_arrays(folder, f"spread-{part}", {"keys": keys[spread], "counts": counts[spread].astype(np.uint64)})
+            follower, follows = summed(np.concatenate((w[~spread], w[spread])), np.concatenate((counts[~spread], np.ones(int(spread.sum()), np.int64))))
+            write_arrays(folder, f"follows-{part}", {"words": follower.astype(np.uint32), "counts": follows.astype(np.uint64)})
+            rows = [("follows", [part], [0]), ("follow_counts", [*range(5)], count_kinds(follows))]
+            if spread.any():
+                own, c = second[spread], counts[spread]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                rows += [("spread", [part], [0]), ("pair_counts", [*range(5)], count_kinds(c))]
+                rows += [(f"sum{k}", own[first].tolist(), np.add.reduceat(x.astype(np.int64), first).tolist()) for k, x in enumerate((c, c == 1, c == 2, c > 2))]
+        kinds, a, b = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *(pa.array(x, pa.list_(pa.int64())) for x in (a, b))], names=["kind", "keys", "counts"])
+
+    with shuffles_cleaned(spark):
+        pieces = counted(docs, text, triples, lambda *x: narrow(*summed_pairs(*x)), lambda vu, *_: triple_range(vu, ranges, v, frequent))
+        made = merged(pieces, ranges, (np.uint64, np.uint32, np.uint32), summed_pairs, write_triples, BLOCK)
+        ended = merged(made, ranges, (np.uint64, np.uint32), summed, write_follows, "kind string, keys array<bigint>, counts array<bigint>")
+        # sums over the ranges, so what comes here are the sums of the frequent words and the numbers of the ranges
+        rows = ended.select("kind", F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy("kind", "x.keys").agg(F.sum("x.counts").alias("n")).collect()
+    about: dict = {"sizes": sizes, "tokens": n, "triples": [0] * 5, "pairs": [0] * 5, "follows": [0] * 5, "frequent": {str(k): [0] * 4 for k in frequent.tolist()}, "there": {"triples": [], "follows": [], "spread": []}}
+    for kind, key, x in rows:
+        if kind == "about":
+            if key >= 1 << 40:
+                about["there"]["triples"].append(key - (1 << 40))
             else:
-                sums.setdefault((k - 8) // 4, [0, 0, 0])[(k - 8) % 4] += c
-    texts = docs.count()
-    # a range without words or pairs has no file; empty ones stand for them
-    for part in range(ranges):
-        none = np.empty(0, np.uint32)
-        if not any(r["part"] == part for r in rows):
-            write_arrays(folder, f"follows-{part}", {"words": none, "counts": none})
-    about = {"sizes": sizes, "tokens": n, "texts": texts, "frequent": {str(k): sums.get(k, [0, 0, 0]) for k in frequent.tolist()}, "pair_counts": pair[:4], "types": pair[4], "follow_counts": follow[:4], "followers": follow[4]}
-    from pyarrow import fs
-
-    store, base = fs.FileSystem.from_uri(folder)
-    store.create_dir(base, recursive=True)
-    there = {x.base_name for x in store.get_file_info(fs.FileSelector(base))}
-    empty = {k: np.empty(0, np.uint32) for k in ("first", "once", "twice", "more", "second", "large_at", "large")} | {"offsets": np.zeros(1, np.uint32), "counts": np.empty(0, np.uint8)}
-    for part in range(ranges):
-        if f"pairs-{part}" not in there:
-            write_arrays(folder, f"pairs-{part}", empty)
+                about[("triples", "pairs")[key // 5]][key % 5] += x
+        elif kind in about["there"]:
+            about["there"][kind].append(key)
+        elif kind in ("follow_counts", "pair_counts"):
+            about[kind.split("_")[0] + "s"][key] += x
+        else:
+            about["frequent"][str(key)][int(kind[3:])] += x
     return folder, about
 
 
