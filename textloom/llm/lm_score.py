@@ -36,7 +36,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +44,10 @@ from pyspark.sql import functions as F
 
 from .common import cells, publish, scratch
 
-#: Stand-in for the end of a text; no word holds white space.
-END = b"\n"
-#: Words or triples that a task holds before it sorts and sends them, and words that a worker remembers.
-HELD, REMEMBERED = 4_000_000, 400_000
+#: The hash that stands for the end of a text, and the bytes from which a word is hashed by itself.
+END, LONG = 0, 256
+#: Words or triples that a task holds before it sorts and sends them.
+HELD = 4_000_000
 #: A word is frequent if it has more than 1 / FREQUENT of a range's words.
 FREQUENT = 4
 #: Texts of a batch, and followers from which a pair's sums are stored.
@@ -94,31 +93,51 @@ def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(raw, np.dtype(d), size, 8 + n + at) for k, (d, size, at) in about.items()}
 
 
-class Lexicon(dict):
-    """Own numbers for words, in the order in which they are met, with their hashes; END is 0."""
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The low bytes of eight that belong to a word of so many.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    def __init__(self):
-        super().__init__()
-        self.words: list[bytes] = []
-        self.hashes = np.empty(0, np.uint64)
-        self[END]
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.words)
-        self.words.append(word)
-        return n
+def stirred(x: np.ndarray) -> np.ndarray:
+    """64 bits that depend on all bits of x, others for each x."""
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(32)
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of texts in order, each text with its end, and the number of each text's."""
-        found = [[*(x or "").encode("utf-8", "surrogatepass").lower().split(), END] for x in texts.to_pylist()]  # bytes know white space and letters of ASCII only
-        sizes = np.array([len(w) for w in found], np.int64)
-        tokens = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
-        if len(self.words) > len(self.hashes):
-            from xxhash import xxh64_intdigest
 
-            new = np.array([xxh64_intdigest(w) for w in self.words[len(self.hashes) :]], np.uint64)
-            self.hashes = np.concatenate((self.hashes, new))
-        return tokens, sizes
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the tokens of texts in order, END (0) after each text, and the number of each text's.
+
+    Bytes of a batch are looked at together: words are what stands between white
+    space, and are hashed eight bytes at a time, all words at once.
+    """
+    raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts.to_pylist()]
+    whole = b" ".join([b"", *raw, bytes(8)]).lower()  # bytes know letters of ASCII only
+    # the last eight bytes are there to be read past a word's end, and are no word
+    bytes_of = np.frombuffer(whole, np.uint8)
+    gap = SPACES[bytes_of]
+    edge = np.flatnonzero(gap[1:-8] != gap[:-9]) + 1
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(whole) - 7,), "<u8", whole, strides=(1,))
+    out = stirred(lengths.astype(np.uint64) + np.uint64(1)) ^ (eight[starts] & LOW_BYTES[np.minimum(lengths, 8)])
+    out = stirred(out)
+    more, at = np.flatnonzero(lengths > 8), 8
+    while len(more) and at < LONG:
+        out[more] = stirred(out[more] ^ (eight[starts[more] + at] & LOW_BYTES[np.minimum(lengths[more] - at, 8)]))
+        at += 8
+        more = more[lengths[more] > at]
+    if len(more):
+        from xxhash import xxh64_intdigest
+
+        out[more] = [xxh64_intdigest(whole[k : k + n]) for k, n in zip(starts[more].tolist(), lengths[more].tolist())]
+    ends = np.cumsum([1 + len(x) for x in raw])
+    words = np.searchsorted(starts, ends)  # words before each text's end
+    sizes = np.diff(words, prepend=0) + 1
+    tokens = np.full(len(out) + len(raw), END, np.uint64)
+    inner = np.ones(len(tokens), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    tokens[inner] = np.where(out == END, np.uint64(1), out)
+    return tokens, sizes
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,63 +279,54 @@ def count_at(f: dict[str, np.ndarray], name: str, place: np.ndarray) -> np.ndarr
 
 def among(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each wanted value in its own stretch [low, high) of sorted values, and whether it is there."""
-    low, top = low.copy(), high
-    high = high.copy()
-    while (todo := np.flatnonzero(low < high)).size:
-        middle = (low[todo] + high[todo]) >> 1
-        less = values[middle] < wanted[todo]
-        low[todo] = np.where(less, middle + 1, low[todo])
-        high[todo] = np.where(less, high[todo], middle)
-    place = np.minimum(low, max(len(values) - 1, 0))
-    hit = low < top
-    if len(values):
-        hit &= values[place] == wanted
+    place, hit = low.copy(), np.zeros(len(low), bool)
+    todo = np.flatnonzero(low < high)
+    low, high, wanted = low[todo], high[todo] - 1, wanted[todo]
+    while len(todo):  # what is wanted lies in [low, high], if it is there
+        done = low >= high
+        if 4 * np.count_nonzero(done) >= len(done):
+            some = todo[done]
+            place[some] = low[done]
+            hit[some] = values[low[done]] == wanted[done]
+            left = ~done
+            todo, low, high, wanted = todo[left], low[left], high[left], wanted[left]
+        middle = (low + high) >> 1
+        less = values[middle] < wanted
+        low = np.where(less, np.minimum(middle + 1, high), low)
+        high = np.where(less, high, middle)
     return place, hit
 
 
 class Words:
-    """The numbers and counts of words; those met before are remembered."""
+    """The numbers and counts of words."""
 
     def __init__(self, folder: str, sizes: list[int]):
         self.folder, self.ranges = folder, len(sizes)
         self.bases = np.concatenate(([0], np.cumsum(sizes)))
         self.files: dict[int, dict[str, np.ndarray]] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.lexicon = Lexicon()
-        self.numbers, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens as places in self.numbers and self.counts, and the number of each text's."""
-        if len(self.lexicon.words) > REMEMBERED:
-            self.forget()
-        tokens, sizes = self.lexicon.read(texts)
-        if len(self.lexicon.hashes) > len(self.numbers):
-            found = self.find(self.lexicon.hashes[len(self.numbers) :])
-            self.numbers, self.counts = np.concatenate((self.numbers, found[0])), np.concatenate((self.counts, found[1]))
-        return tokens, sizes
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and counts of the distinct tokens of texts, the tokens as places in these, and the number of each text's."""
+        tokens, sizes = hashed(texts)
+        kinds, tokens = np.unique(tokens, return_inverse=True)
+        return *self.find(kinds), tokens, sizes
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1 for unknown words) and counts."""
-        order = np.argsort(hashes)
-        own = hashes[order]
-        part = range_of(own, self.ranges)
-        numbers, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
+        """Numbers (-1 for unknown words) and counts of hashes in order."""
+        part = range_of(hashes, self.ranges)
+        numbers, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         parts, first = np.unique(part, return_index=True)
-        for p, a, b in zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(own)]):
+        for p, a, b in zip(parts.tolist(), first.tolist(), [*first[1:].tolist(), len(hashes)]):
             if self.bases[p] == self.bases[p + 1]:
                 continue
             if p not in self.files:
                 self.files[p] = map_arrays(self.folder, f"words-{p}")
             f = self.files[p]
-            at = np.minimum(np.searchsorted(f["hashes"], own[a:b]), len(f["hashes"]) - 1)
-            known = f["hashes"][at] == own[a:b]
+            at = np.minimum(np.searchsorted(f["hashes"], hashes[a:b]), len(f["hashes"]) - 1)
+            known = f["hashes"][at] == hashes[a:b]
             numbers[a:b] = np.where(known, at + self.bases[p], -1)
             counts[a:b] = np.where(known, f["counts"][at], 0)
-        back = np.empty(len(own), np.int64)
-        back[order] = np.arange(len(own))
-        return numbers[back], counts[back]
+        return numbers, counts
 
 
 def before(w: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -465,10 +475,8 @@ class Model:
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
-        tokens, sizes = self.words.read(texts)
+        numbers, counts, tokens, sizes = self.words.read(texts)
         of = np.repeat(np.arange(len(sizes)), sizes)
-        kinds, tokens = np.unique(tokens, return_inverse=True)
-        numbers, counts = self.words.numbers[kinds], self.words.counts[kinds]
         single = self.single(numbers)
         w = numbers[tokens]
         u, v = before(w, sizes, self.v)
@@ -509,13 +517,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[str, dict]:
     folder = scratch(spark, "lm")
 
     def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lexicon = cells("lm-lexicon")
-        if "it" not in lexicon or len(lexicon["it"].words) > REMEMBERED:
-            lexicon["it"] = Lexicon()
-        tokens, _ = lexicon["it"].read(texts)
-        counts = np.bincount(tokens, minlength=len(lexicon["it"].hashes))
-        some = np.flatnonzero(counts)
-        return lexicon["it"].hashes[some], counts[some].astype(np.uint32)
+        kinds, counts = np.unique(hashed(texts)[0], return_counts=True)
+        return kinds, counts.astype(np.uint32)
 
     def write_words(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         write_arrays(folder, f"words-{part}", {"hashes": keys, "counts": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)})
@@ -551,8 +554,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[str, dict]:
         if folder not in store:
             store.clear()
             store[folder] = Words(folder, sizes)
-        tokens, own = store[folder].read(texts)
-        w = store[folder].numbers[tokens]
+        numbers, _, tokens, own = store[folder].read(texts)
+        w = numbers[tokens]
         u, m = before(w, own, v)
         return joined(m, u), w.astype(np.uint32), np.ones(len(w), np.uint32)
 
