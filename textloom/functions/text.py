@@ -110,10 +110,12 @@ def guess_lang(text: Column) -> Column:
     count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))  # noqa: E731  each match is one character
     letters = F.greatest(count(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(1))
     script = let(letters, lambda n: F.coalesce(*[F.when(count(f"{p}+") / n >= SCRIPT_SHARE, code) for code, p in SCRIPTS]))
+    script = F.when(text.rlike("|".join(p for _, p in SCRIPTS)), script)  # most texts have no such letter, and none are counted
     n_words = F.greatest(F.size(F.array_remove(F.split(text, rf"{UNICODE}{SPACE}+"), "")), F.lit(1))
     need = F.greatest(F.when(F.length(text) < 80, 2).otherwise(3), F.floor(F.lit(0.04).cast("double") * n_words).cast("int"))
     # four letters that other tables of Unicode write alike in lower case
     tokens = F.split(F.lower(F.translate(text, "İı\u017f\u212a", "iisk")), r"[^\p{L}\p{N}_]+")
+    tokens = F.filter(tokens, lambda w: w.isin(*dict.fromkeys("|".join((TURKISH, GERMAN, FRENCH)).split("|"))))
     points = let(tokens, lambda w: F.struct((2 * count(TURKISH_LETTERS) + word_hits(w, TURKISH)).alias("tr"), (count(GERMAN_LETTERS) + word_hits(w, GERMAN)).alias("de"), (count(FRENCH_LETTERS) + word_hits(w, FRENCH)).alias("fr")))
     best = let(F.struct(points.alias("p"), need.alias("need")), lambda s: F.when(F.greatest(s["p"]["tr"], s["p"]["de"], s["p"]["fr"]) < s["need"], "en").when((s["p"]["tr"] >= s["p"]["de"]) & (s["p"]["tr"] >= s["p"]["fr"]), "tr").when(s["p"]["de"] >= s["p"]["fr"], "de").otherwise("fr"))
     return F.coalesce(script, best, F.lit("en"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import CHANNELS, LABELS, MAX_CHARS, MIN_CHARS, REAL_POSITIVE_FLOOR
-from .order import running, sliced
+from .order import once, running, sliced
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Adapter:
 
 def finalize(rows: DataFrame, nfc: bool = True) -> DataFrame:
     """Rows with normalised text and a language where they had none."""
-    rows = rows.withColumn("text", T.norm_text(F.col("text"), nfc))
+    rows = once(rows, "text", T.norm_text(F.col("text"), nfc))
     return rows.withColumn("lang", F.when(F.coalesce("lang", F.lit("")) == "", T.guess_lang(F.col("text"))).otherwise(F.col("lang")))
 
 
@@ -64,7 +64,8 @@ def staged(rows: DataFrame, nfc: bool = True) -> DataFrame:
     """Rows with stage: bad, len or ok, and dk, the key of those that are ok."""
     rows = finalize(rows, nfc)
     stage = F.when(~is_valid(), "bad").when(~has_length(), "len").otherwise("ok")
-    return rows.withColumn("stage", stage).withColumn("dk", F.when(F.col("stage") == "ok", T.dedup_key(F.col("text"))))
+    rows = once(rows, "stage", stage)
+    return once(rows, "dk", F.when(F.col("stage") == "ok", T.dedup_key(F.col("text"))))
 
 
 def merge(adapters: list[Adapter], known: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None, nfc: bool = True, failed: Callable[[str, Exception], None] | None = None) -> DataFrame | None:
@@ -129,10 +130,10 @@ def append(rows: DataFrame, path: str, nfc: bool = True) -> int:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
     known = spark.read.parquet(path).select("dk") if there else None
-    before = 0 if known is None else known.count()
-    fresh = merge([Adapter("append", lambda: rows)], known, nfc=nfc).drop("stage", "adapter", "rank")
+    written = Observation()
+    fresh = merge([Adapter("append", lambda: rows)], known, nfc=nfc).drop("stage", "adapter", "rank").observe(written, F.count(F.lit(1)).alias("n"))
     fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    return written.get["n"]
 
 
 def composition(rows: DataFrame) -> DataFrame:

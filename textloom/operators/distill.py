@@ -4,7 +4,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import running, sliced
@@ -14,10 +14,12 @@ PAD, LONGEST, BATCH, BASE = 32, 768, 32, 256
 
 def unique_windows(windows: DataFrame, order: list[str]) -> DataFrame:
     """hash, the first text, label and lang of each distinct window, and how many later ones have another label."""
-    windows = windows.withColumn("hash", F.sha1("window_text"))
-    first = Window.partitionBy("hash").orderBy(*order)
-    rows = windows.withColumn("_r", F.row_number().over(first)).withColumn("_label", F.first("label").over(first))
-    return rows.groupBy("hash").agg(F.max(F.when(F.col("_r") == 1, F.struct("window_text", "label", "lang"))).alias("f"), F.count("*").alias("n"), F.count_if(F.col("label") != F.col("_label")).alias("conflicts")).select("hash", "f.window_text", "f.label", "f.lang", "n", "conflicts")
+    # summed by hash and label before the shuffle, so frequent windows travel as a row for each task and label
+    first = F.min(F.struct(*order, F.struct("window_text", "label", "lang").alias("f"))).alias("first")
+    each = windows.groupBy(F.sha1("window_text").alias("hash"), F.col("label").alias("_label")).agg(first, F.count("*").alias("n"))
+    by = each.groupBy("hash").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list(F.when(F.col("_label").isNotNull(), F.struct("_label", "n"))).alias("labels"))
+    other = F.aggregate(F.filter("labels", lambda x: x["_label"] != F.col("first.f.label")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    return by.select("hash", "first.f.window_text", "first.f.label", "first.f.lang", "n", other.alias("conflicts"))
 
 
 def with_teacher(windows: DataFrame, logits: DataFrame) -> DataFrame:

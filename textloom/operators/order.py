@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 SLICE = 1 << 20
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column (a new one, or in the place of one) that is computed once for each row, however often it is used: no rule of the optimizer copies an expression through a generator."""
+    out = df.select("*", F.explode(F.array(value)).alias("_once"))
+    return out.select(*[F.col("_once").alias(c) if c == name else F.col(f"`{c}`") for c in df.columns], *([] if name in df.columns else [F.col("_once").alias(name)]))
+
+
 def sliced(column: str, width: int = SLICE) -> Column:
     return F.floor(F.col(column) / width)
 
