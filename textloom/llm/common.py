@@ -39,12 +39,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a temporary folder is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder is set, in local mode only: other machines would not see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -37,7 +37,7 @@ from .token_count import load
 LENGTH = 1024
 #: Sequences of a partition are numbered below this bound.
 PER_PARTITION = 1 << 32
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 MASK = (1 << 64) - 1
 
 
