@@ -276,3 +276,11 @@ def test_pipeline(spark, sf_dir):
     out = p.STAGES[-1][1](spark, docs, sf_dir).collect()
     written = Counter(d.doc_id for r in out for d in {x.doc_id: x for x in r.docs}.values())
     assert set(written) == {r.doc_id for r in docs.collect()}
+
+
+def test_scores_find_the_article_without_its_tag(spark, sf_dir):
+    import re
+
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    plain = [re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", x) for x in pages]
+    assert [html_extract.extract(x) for x in plain] == [html_extract.extract(x) for x in pages]
