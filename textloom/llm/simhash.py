@@ -296,7 +296,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     fps = cut(map_batches(docs.select(F.col(id_col).alias("id"), text), run, f"id {kind}, fp bigint", rows=500))
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
     found = components(nodes, near_links(nodes, radius))
-    of = nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # written, so that the join with the rows stands alone and a fingerprint that many rows have can be split
+    of = cut(nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id")))
     return fps.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
