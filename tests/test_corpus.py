@@ -246,3 +246,16 @@ def test_budgets(spark):
     got = C.budgeted(rows, F.col("h"), "n", 4, 3, 1).collect()
     assert sorted(r.n for r in got if r.is_hard) == [0, 2, 4] and sorted(r.n for r in got if not r.is_hard) == [1, 3, 5, 7]
     assert C.budgeted(rows.limit(0), F.col("h"), "n", 4, 3, 1).count() == 0
+
+
+def test_cjk_quota(spark):
+    freq = spark.createDataFrame([("日本", 3), ("日", 4), ("本x", 1), ("abc", 99), ("한글", 2), ("かな", 5)], "word string, freq long")
+    assert [(r.ch, r.freq) for r in vocab.cjk_quota(freq, 3).collect()] == [("日", 7), ("か", 5), ("な", 5)]
+    assert [r.ch for r in vocab.cjk_quota(freq, 99).collect()] == ["日", "か", "な", "本", "글", "한"]
+
+
+def test_seeded_slots(spark):
+    templates, slots = ["Hello {a}, {b}", "{b} only", "none"], {"a": ["x", "y"], "b": ["1", "2", "3"]}
+    every = {t.replace("{a}", a).replace("{b}", b) for t in templates for a in slots["a"] for b in slots["b"]}
+    got = [synth.picked(spark, templates, slots, 400, seed).orderBy("ordinal").collect() for seed in (1, 1, 2)]
+    assert got[0] == got[1] != got[2] and {r.text for r in got[0]} == every

@@ -40,11 +40,14 @@ class HashedWords:
         return HashingTF(inputCol="_words", outputCol="features", numFeatures=self.features).transform(rows.withColumn("_words", T.pre_tokenize(F.col("text"), False))).drop("_words")
 
     def fit(self, rows: DataFrame) -> HashedWords:
-        """rows: text, label."""
+        """rows: text, label. With nothing to learn from, every score is 0.5; null texts have no words."""
         from pyspark.ml.classification import LogisticRegression
 
         rows = rows.withColumn("y", (F.col("label") == "injection").cast("double"))
         n = rows.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
+        if not n["n"]:
+            self.fitted = None
+            return self
         weights = F.when(F.col("y") > 0, n["n"] / (2.0 * max(n["pos"] or 0, 1))).otherwise(n["n"] / (2.0 * max(n["n"] - (n["pos"] or 0), 1)))
         self.fitted = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", maxIter=20, regParam=0.01).fit(self._vectors(rows.withColumn("w", weights)))
         return self
@@ -52,5 +55,7 @@ class HashedWords:
     def __call__(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
+        if self.fitted is None:
+            return rows.withColumn("score", F.lit(0.5))
         out = self.fitted.transform(self._vectors(rows))
         return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
