@@ -151,12 +151,13 @@ def word_vocab(rows: DataFrame, size: int = VOCAB_SIZE, text: str = "text", orde
     special = spark.createDataFrame([(0, s, i) for i, s in enumerate(SPECIALS)], "block int, token string, rank long")
     by_char = Window.partitionBy().orderBy("ch")
     ranked = chars.withColumn("rank", F.row_number().over(by_char).cast("long"))
-    inner = ranked.select(F.lit(1).alias("block"), F.concat(F.lit("##"), "ch").alias("token"), "rank")
-    single = ranked.select(F.lit(2).alias("block"), F.col("ch").alias("token"), "rank")
-    seen = inner.unionByName(single).unionByName(special).select(F.col("token").alias("word"))
-    top = freq.join(seen, "word", "left_anti").orderBy(F.desc("freq"), F.col("first").asc()).limit(size)
+    # inner characters, then single ones
+    both = F.explode(F.array(F.struct(F.lit(1).alias("block"), F.concat(F.lit("##"), "ch").alias("token")), F.struct(F.lit(2).alias("block"), F.col("ch").alias("token"))))
+    letters = ranked.select("rank", both.alias("x")).select("x.block", "x.token", "rank")
+    # words of one character are among these; longer ones hold no punctuation, so none is a special token or begins with ##
+    top = freq.filter(F.length("word") > 1).orderBy(F.desc("freq"), F.col("first").asc()).limit(size)
     top = top.select(F.lit(3).alias("block"), F.col("word").alias("token"), F.row_number().over(Window.partitionBy().orderBy(F.desc("freq"), F.col("first").asc())).cast("long").alias("rank"))
-    every = special.unionByName(inner).unionByName(single).unionByName(top)
+    every = special.unionByName(letters).unionByName(top)
     out = every.withColumn("id", F.row_number().over(Window.partitionBy().orderBy("block", "rank")) - 1)
     return out.filter((F.col("id") < size) | (F.col("block") < 3)).select("id", "token")
 
