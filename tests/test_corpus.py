@@ -158,6 +158,8 @@ def test_line_files(spark, tmp_path):
     assert {r.id: r.pred for r in got.collect()} == {"a": "benign", "b": "injection"}
     (tmp_path / "m.json").write_text('{"Instruction": ["a", "b"], "Programming Help": ["c"], "New": ["d"]}')
     known, unknown = adapters.attacks(files.json_lists(spark, str(tmp_path / "m.json")))
+    with pytest.warns(UserWarning, match=r"New \(1\)"):
+        assert adapters.known_attacks(files.json_lists(spark, str(tmp_path / "m.json"))).count() == 3
     assert {(r.text, r.label) for r in known.collect()} == {("a", "injection"), ("b", "injection"), ("c", "benign")} and unknown.count() == 1
 
 
@@ -259,3 +261,19 @@ def test_seeded_slots(spark):
     every = {t.replace("{a}", a).replace("{b}", b) for t in templates for a in slots["a"] for b in slots["b"]}
     got = [synth.picked(spark, templates, slots, 400, seed).orderBy("ordinal").collect() for seed in (1, 1, 2)]
     assert got[0] == got[1] != got[2] and {r.text for r in got[0]} == every
+
+
+def test_generators(spark):
+    slots = {"a": ["x", "y", "z"], "b": ["1", "2"]}
+    rows = synth.each_template(spark, ["{a} and {b}", "alone"], slots, 5).orderBy("ordinal").collect()
+    assert [r.ordinal for r in rows] == list(range(5)) and [r.text for r in rows] == ["x and 1", "x and 2", "y and 1", "y and 2", "z and 1"]
+    assert synth.each_template(spark, ["alone"], slots, 5).count() == 1
+    assert synth.each_template(spark, [], slots, 5).count() == 0
+    assert synth.spread_product(spark, {"template": ["{a}"], "a": []}, 3).count() == 0
+    got = synth.by_language(spark, {"de": ({"template": [" {a}!"], "a": ["eins", "zwei"]}, ["gut"]), "fr": ({"template": ["{a}"], "a": ["un"]}, [])}, 2)
+    assert [(r.text, r.label, r.lang, r.notes) for r in got.orderBy("ordinal").collect()] == [
+        ("eins!", "injection", "de", "ml-injection/de"), ("zwei!", "injection", "de", "ml-injection/de"), ("gut", "benign", "de", "ml-benign/de"), ("un", "injection", "fr", "ml-injection/fr"),
+    ]
+    assert synth.by_language(spark, {}, 2).count() == 0
+    rows = adapters.generated(got, "synthetic-ml", "own", translated=True)
+    assert rows.filter("is_synthetic and is_translated and lang <> ''").count() == 4

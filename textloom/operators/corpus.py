@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -136,6 +136,12 @@ def append(rows: DataFrame, path: str, nfc: bool = True) -> int:
     return written.get["n"]
 
 
+def reset(spark: SparkSession, path: str) -> bool:
+    """Removes the corpus at path; whether there was one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, True)
+
+
 def composition(rows: DataFrame) -> DataFrame:
     """Counts by label, by source and by language, and the whole, in one pass: facet, value, n, weak, injections."""
     sets = rows.groupingSets([["label"], ["source"], ["lang"], []], "label", "source", "lang")

@@ -27,6 +27,19 @@ def vocab_fingerprint(vocab: dict[str, int]) -> str:
     return hashlib.sha256("\n".join(f"{i} {t}" for t, i in sorted(vocab.items(), key=lambda x: x[1])).encode()).hexdigest()
 
 
+@dataclass
+class Unit:
+    """A scorer and the vocabulary it was made with, which belong together: with another vocabulary it refuses to score."""
+
+    scorer: Scorer
+    fingerprint: str
+
+    def score(self, rows: DataFrame, vocab: dict[str, int]) -> DataFrame:
+        if vocab_fingerprint(vocab) != self.fingerprint:
+            raise ValueError("the vocabulary is not the one the model was made with")
+        return self.scorer(rows)
+
+
 @dataclass
 class HashedWords:
     """Logistic regression over hashed word counts; classes weigh alike."""
@@ -57,5 +70,18 @@ class HashedWords:
 
         if self.fitted is None:
             return rows.withColumn("score", F.lit(0.5))
-        out = self.fitted.transform(self._vectors(rows))
+        out = self.fitted.transform(self._vectors(rows.drop("features", "rawPrediction", "probability", "prediction")))
         return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+    def save(self, path: str) -> None:
+        """The fitted model at path; a model of nothing cannot be saved."""
+        if self.fitted is None:
+            raise ValueError("nothing was learned")
+        self.fitted.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> HashedWords:
+        from pyspark.ml.classification import LogisticRegressionModel
+
+        fitted = LogisticRegressionModel.load(path)
+        return cls(fitted.numFeatures, fitted)

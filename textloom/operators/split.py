@@ -41,9 +41,9 @@ def check_leaks(rows: DataFrame) -> None:
         raise ValueError(f"groups on both sides: {[r['gk'] for r in found]}")
 
 
-def snapshot(rows: DataFrame, ordinal: str, first: int, expect_eval: int | None = None) -> DataFrame:
-    """The split of the first rows, in order; raises if the evaluation side has not the number expected."""
-    out = assign(rows.filter(F.col(ordinal) < first))
+def snapshot(rows: DataFrame, ordinal: str, first: int, expect_eval: int | None = None, hard_percent: int = FP_HARD_EVAL_PERCENT) -> DataFrame:
+    """The split of the first rows, in order; raises if the evaluation side has not the number expected. Under the old rules hard rows are split like all others (hard_percent=EVAL_PERCENT)."""
+    out = assign(rows.filter(F.col(ordinal) < first), hard_percent=hard_percent)
     if expect_eval is not None and (n := out.filter("side = 'eval'").count()) != expect_eval:
         raise ValueError(f"{n} rows on the evaluation side, not {expect_eval}")
     return out

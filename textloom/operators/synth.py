@@ -26,6 +26,9 @@ def strided_product(spark: SparkSession, slots: dict[str, list[str]], cap: int)
     rows = spark.range(0, total, stride).withColumnRenamed("id", "combo")
     below = total
     for name, values in slots.items():
+        if not total:
+            rows = rows.withColumn(name, F.lit(""))
+            continue
         below //= len(values)
         rows = rows.withColumn(name, F.element_at(F.array(*map(F.lit, values)), ((F.col("combo") / F.lit(below)).cast("bigint") % len(values) + 1).cast("int")))
     return rows
@@ -37,6 +40,38 @@ def fill_templates(templates: DataFrame, combos: DataFrame, slots: list[str], te
     return rows.withColumn("text", T.fill(F.col(template), {s: F.col(s) for s in slots}))
 
 
+def first_filled(rows: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
+    """ordinal (from 0) and text of filled rows, in order: of texts with one key the first, and the first `most` of these. Texts are few (caps are counts of generated rows)."""
+    text = T.strip(F.col("text"))
+    kept = rows.select(*order, text.alias("text")).groupBy(T.dedup_key(F.col("text")).alias("dk")).agg(F.min(F.struct(*order, "text")).alias("x")).select("x.*")
+    kept = kept.orderBy(*order).limit(most) if most is not None else kept
+    return running(kept, [], [F.col(order[0])], order, F.lit(1), "ordinal").select("ordinal", "text")
+
+
+def each_template(spark: SparkSession, templates: list[str], slots: dict[str, list[str]], cap: int) -> DataFrame:
+    """At most `cap` texts: every template with its own spread of fills, max(4, cap // templates + 2) asked of each. A template without slots gives one text; no template, none."""
+    share = max(4, cap // max(1, len(templates)) + 2)
+    numbered = spark.createDataFrame(list(enumerate(templates)), "no int, template string")
+    return first_filled(fill_templates(numbered, strided_product(spark, slots, share), list(slots)), ["no", "combo"], cap)
+
+
+def spread_product(spark: SparkSession, slots: dict[str, list[str]], cap: int, most: int | None = None, template: str = "template") -> DataFrame:
+    """Texts of a product in which the template is a slot like the others, one of each stride-th tuple; at most `most` where given. An empty slot gives none."""
+    rows = strided_product(spark, slots, cap)
+    return first_filled(rows.withColumn("text", T.fill(F.col(template), {s: F.col(s) for s in slots if s != template})), ["combo"], most)
+
+
+def by_language(spark: SparkSession, blocks: dict[str, tuple[dict[str, list[str]], list[str]]], cap: int, prefix: str = "ml") -> DataFrame:
+    """ordinal, text, label, lang and notes: for each language (slots, benign texts), the spread product as injections, then the benign texts. Ordinals follow the order of languages."""
+    schema, out = "ordinal long, text string, label string, lang string, notes string", None
+    for i, (lang, (slots, benign)) in enumerate(blocks.items()):  # a few languages
+        bad = spread_product(spark, slots, cap).select("ordinal", "text", F.lit("injection").alias("label"))
+        good = spark.createDataFrame([(cap * 2 + k, t, "benign") for k, t in enumerate(benign)], "ordinal long, text string, label string")
+        rows = bad.unionByName(good).select((F.col("ordinal") + F.lit(i << 32)).cast("long").alias("ordinal"), "text", "label", F.lit(lang).alias("lang"), F.concat(F.lit(f"{prefix}-"), "label", F.lit(f"/{lang}")).alias("notes"))
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def distinct_union(*frames: DataFrame, value: str = "text", order: str = "ordinal") -> DataFrame:
     """All values, each where it first occurs, numbered in order from 0 (idx). Orders are integers."""
     rows = reduce(DataFrame.unionByName, [f.select(F.col(value), F.lit(i).alias("frame"), F.col(order).alias("ordinal")) for i, f in enumerate(frames)])

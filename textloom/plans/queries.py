@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import distill, model, repair, scoring, split, synth, vocab
 from ..operators import windows as W
+from ..schema import EVAL_PERCENT
 from ..sources import adapters
 from . import sql as Q
 from .inputs import corpus, sources, spliced, table
@@ -218,6 +219,13 @@ def prefix_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.snapshot(kept, "ordinal", 500).groupBy("side").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {Q.KEPT}, s AS (SELECT * FROM kept WHERE ordinal < 500) SELECT CASE WHEN NOT weak_seed AND {Q.bucket("'row-' || dk", 100)} < 18 THEN 'eval' ELSE 'train' END AS side, count(*) AS n FROM s GROUP BY side")
+def old_prefix_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of a prefix by the old rules, under which hard rows have no share of their own."""
+    kept = C.merge([C.Adapter("documents", lambda: corpus(spark, sf_dir))])
+    return split.snapshot(kept, "ordinal", 500, hard_percent=EVAL_PERCENT).groupBy("side").agg(F.count("*").alias("n"))
+
+
 # -- scoring ------------------------------------------------------------------
 
 
@@ -310,6 +318,31 @@ def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.fill_templates(templates, synth.strided_product(spark, SLOTS, 14), list(SLOTS)).select("combo", "template", "text")
 
 
+_FILLED = "replace(replace(replace(template, '{who}', who), '{what}', what), '{when}', \"when\")"
+_TEMPLATE_LIST = f"[{', '.join(repr(t) for t in TEMPLATES)}]"
+
+
+# 3 templates, a cap of 20: 8 fills asked of each, a stride of 60 // 8
+@query(
+    f"WITH slots AS (SELECT {_SLOT_SQL}), combos AS (SELECT i AS combo, whos[i // 15 % 4 + 1] AS who, whats[i // 5 % 3 + 1] AS what, whens[i % 5 + 1] AS \"when\" FROM slots, (SELECT unnest(range(0, 60, 7)) AS i)), "
+    f"t AS (SELECT unnest(range(3)) AS no), f AS (SELECT no, combo, {_FILLED} AS text FROM (SELECT no, {_TEMPLATE_LIST}[no + 1] AS template FROM t), combos), "
+    f"k AS (SELECT text, min(no * 1000 + combo) AS place FROM f GROUP BY text) SELECT row_number() OVER (ORDER BY place) - 1 AS ordinal, text FROM k ORDER BY place LIMIT 20"
+)
+def capped_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generator that spreads a cap over its templates."""
+    return synth.each_template(spark, TEMPLATES, SLOTS, 20)
+
+
+# the template is a slot, too: a product of 180, a cap of 25, a stride of 7
+@query(
+    f"WITH slots AS (SELECT {_SLOT_SQL}), combos AS (SELECT i AS combo, {_TEMPLATE_LIST}[i // 60 % 3 + 1] AS template, whos[i // 15 % 4 + 1] AS who, whats[i // 5 % 3 + 1] AS what, whens[i % 5 + 1] AS \"when\" FROM slots, (SELECT unnest(range(0, 180, 7)) AS i)) "
+    f"SELECT row_number() OVER (ORDER BY combo) - 1 AS ordinal, text FROM (SELECT min(combo) AS combo, {_FILLED} AS text FROM combos GROUP BY text) ORDER BY combo LIMIT 25"
+)
+def spread_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generator whose template is one slot of the product."""
+    return synth.spread_product(spark, {"template": TEMPLATES, **SLOTS}, 25, 25)
+
+
 def _twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = synth.distinct_union(table(spark, sf_dir, "benchmark").select("text", F.col("item_id").alias("ordinal")))
     return synth.twins(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ci"), "text"), pool, pool.count())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +113,14 @@ def attacks(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, raw.filter(label.isNull())
 
 
+def known_attacks(raw: DataFrame) -> DataFrame:
+    """The rows of attacks(); texts in unknown categories are skipped with a warning that names the commonest of these."""
+    rows, unknown = attacks(raw)
+    if found := unknown.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(20).collect():
+        warnings.warn("texts in unknown categories are skipped: " + ", ".join(f"{r['category']} ({r['n']})" for r in found), stacklevel=2)
+    return rows
+
+
 def spliced_contexts(contexts: DataFrame, raw: DataFrame) -> DataFrame:
     """E-mail contexts (ordinal, context), each clean and with four attack texts of `raw` spliced in, all of one group."""
     texts = raw.filter((optional(raw, "kind", "text") == "text") & F.col("category").isin(*MALICIOUS_CATEGORIES))
@@ -134,7 +144,7 @@ def registry(raw: dict[str, DataFrame], license: str = "synthetic") -> list[Adap
     templates; `license` is theirs. bipia-ctx needs the table of bipia, too.
     """
     order = (
-        ("deepset", deepset, {}), ("jackhhao", jackhhao, {}), ("bipia", lambda r: attacks(r)[0], {}), ("bipia-ctx", lambda r: spliced_contexts(r, raw["bipia"]), {}), ("nemotron", nemotron, {}),
+        ("deepset", deepset, {}), ("jackhhao", jackhhao, {}), ("bipia", known_attacks, {}), ("bipia-ctx", lambda r: spliced_contexts(r, raw["bipia"]), {}), ("nemotron", nemotron, {}),
         ("llmail", lambda r: llmail(sampled(r, LLMAIL_PAGES)), {"cap": LLMAIL_CAP, "page": "page"}), ("polyguard", lambda r: polyguard(sampled(r, POLYGUARD_PAGES)), {"cap_by": ("lang", "label"), "cap": POLYGUARD_CAP}), ("sms-ham", lambda r: sms_ham(r, SMS_MODULO), {"cap_by": ("notes",), "cap": SMS_CAP}),
         ("synthetic", lambda r: generated(r, "synthetic", license), {}), ("email-benign", lambda r: generated(r, "email-benign", license, "email"), {}), ("synthetic-ml", lambda r: generated(r, "synthetic-ml", license, translated=True), {}),
     )

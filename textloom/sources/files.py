@@ -65,4 +65,4 @@ def evaluation_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
     """path, bytes and sha256 of files."""
-    return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
