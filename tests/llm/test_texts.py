@@ -284,3 +284,10 @@ def test_scores_find_the_article_without_its_tag(spark, sf_dir):
     pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     plain = [re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", x) for x in pages]
     assert [html_extract.extract(x) for x in plain] == [html_extract.extract(x) for x in pages]
+
+
+def test_links_count_through_any_depth():
+    article = "<div class=story>" + "".join(f"<p>Sentence {i}, with commas, and words enough to be read as prose by anyone.</p>" for i in range(4)) + "</div>"
+    links = "<div class=more>" + "".join(f"<p><a href=x><span><b><i><u>Another story, number {i}, which is elsewhere, and has commas, many, many</u></i></b></span></a></p>" for i in range(6)) + "</div>"
+    found = html_extract.extract(f"<body>{article}{links}</body>")
+    assert "Sentence 3" in found and "Another story" not in found

@@ -53,10 +53,12 @@ ENDS_SENTENCE = re.compile(r"[.!?。！？]\W*$")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "gone", "chars", "linked", "commas", "points", "links")
+    __slots__ = ("tag", "parent", "gone", "in_link", "chars", "linked", "commas", "points", "links")
 
     def __init__(self, tag: str, parent: Node | None, gone: bool):
         self.tag, self.parent, self.gone = tag, parent, gone
+        #: Whether it is in a link with no block between; a link left open ends with its block.
+        self.in_link = tag == "a" or parent is not None and parent.in_link and tag not in BLOCKS
         self.chars = self.linked = self.commas = self.links = 0
         self.points = 0.0
 
@@ -99,7 +101,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         run.append(piece)
         n = len(piece.strip())
         if n:
-            linked = any(x.tag == "a" for x in stack[-3:])
+            linked = stack[-1].in_link or any(x.tag == "a" for x in stack[-3:])
             holder = stack[-1]
             while holder.tag not in BLOCKS and holder.parent is not None:
                 holder = holder.parent
