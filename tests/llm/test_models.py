@@ -200,3 +200,21 @@ def test_token_count_cases(spark):
 def test_discounts_leave_something(counts):
     d = lm_score.discounts(counts)
     assert d[0] == 0 and all(0 <= d[k] < k for k in (1, 2, 3))
+
+
+def test_tokenizer_files_of_other_settings_are_refused():
+    import json
+
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    small = {**spec, "model": {**spec["model"], "vocab": {}, "merges": []}}
+    token_count.check_settings(small)
+    for part, change in (("pre_tokenizer", {"add_prefix_space": True}), ("pre_tokenizer", {"type": "Whitespace"}), ("model", {"end_of_word_suffix": "</w>"}), ("model", {"ignore_merges": True})):
+        with pytest.raises(ValueError, match=part):
+            token_count.check_settings({**small, part: {**small[part], **change}})
+    with pytest.raises(ValueError, match="normalizer"):
+        token_count.check_settings({**small, "normalizer": {"type": "NFC"}})
+    with pytest.raises(ValueError, match="added token"):
+        token_count.check_settings({**small, "added_tokens": [{"id": 0, "content": "<x>", "lstrip": True}]})
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        token_count.load(tokenizer_path("word_bpe_49k.json"))

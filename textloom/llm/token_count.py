@@ -34,8 +34,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+#: Settings of a file that the arrays and the pattern below stand for; absent ones have the library's defaults.
+PLAIN = {
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def check_settings(spec: dict) -> None:
+    """Raises for a tokenizer file whose settings this counter does not follow, rather than counting otherwise than the library."""
+    wrong = [] if spec.get("normalizer") is None else ["normalizer"]
+    defaults = {"type": "BPE", "add_prefix_space": True, "use_regex": True, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    for part in ("pre_tokenizer", "model"):
+        own = spec.get(part) or {}
+        wrong += [f"{part}.{k}" for k, v in PLAIN[part].items() if (own.get(k, defaults.get(k)) or None) != (v or None)]
+    wrong += [f"added token {t['content']}" for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(wrong)}")
+
+
 class ByteBpe:
-    """A byte-level BPE vocabulary as arrays. The file is that of the tokenizers library."""
+    """A byte-level BPE vocabulary as arrays. The file is that of the tokenizers library; one with other settings is refused."""
 
     def __init__(self, path: str):
         import regex
@@ -43,6 +62,7 @@ class ByteBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         first = np.array([vocab[a] for a, _ in pairs], np.int64)
