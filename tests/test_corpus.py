@@ -132,6 +132,28 @@ def test_bpe_merges_equal_counting_anew():
     assert vocab.bpe_merges(freq, letters, len(letters) + 4 + 6) == want
 
 
+def test_bpe_memory_is_bounded(spark, monkeypatch):
+    import random
+    import tracemalloc
+
+    rng = random.Random(7)
+    freq = {"".join(rng.choices("abcdefgh", k=rng.randint(1, 14))): rng.randint(1, 30) for _ in range(40_000)}
+    letters = {x for c in "abcdefgh" for x in (c, "##" + c)}
+    size = len(letters) + 4 + 40
+    want = vocab.bpe_merges(freq, letters, size)
+    table = spark.createDataFrame(list(freq.items()), "word string, freq long").repartition(8)
+    # nothing is held of the words: 40,000 words as lists and an index of their pairs took over 30 MB
+    for name, value in (("HELD", 0), ("PART", 10_000)):
+        monkeypatch.setattr(vocab, name, value, raising=False)
+    monkeypatch.setattr(vocab, "ALWAYS", ((0x61, 0x68),))
+    tracemalloc.start()
+    got = vocab.train_bpe(table, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[-40:] == want and len(want) == 40 and len(set(want)) > 35
+    assert peak < 10 << 20
+
+
 def test_encoding(spark):
     v = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "play", "##ing", "##s", "!", "a"])}
     df = spark.createDataFrame([(0, "Playing plays!"), (1, "zzz a"), (2, ""), (3, None), (4, "a " * 20)], "i int, text string")

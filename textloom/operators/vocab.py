@@ -1,9 +1,16 @@
 """Vocabularies: word and pair frequencies, BPE, the word vocabulary, greedy encoding, coverage."""
 
 import heapq
-from collections import Counter, defaultdict
+import os
+import tempfile
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +19,8 @@ from ..schema import MAX_WORD_CHARS, SEQ_LEN, SPECIALS, VOCAB_SIZE
 
 # Letters that always have a place, as (first, last) code points: Cyrillic, Arabic.
 ALWAYS = ((0x0400, 0x045F), (0x0620, 0x064F))
+#: Pieces of words that BPE training holds in memory (two bytes each, four in large vocabularies), and those of a part.
+HELD, PART = 1 << 25, 1 << 20
 
 
 def words(rows: DataFrame, keep: list[str], text: str = "text", nfkc: bool = True) -> DataFrame:
@@ -72,6 +81,157 @@ def alphabet(freq: DataFrame, least: int, quota: int = 0) -> DataFrame:
     return found.unionByName(both).distinct()
 
 
+def coded(words: list[str], freqs: np.ndarray, letters: list[str], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of two letters or more, the frequent first, as one array of their letters' places, with -1 before, between and after them.
+
+    Words with other letters are left out. The second and third array tell from
+    which place on words have which frequency.
+    """
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.cumsum(size) - size
+    places = np.full(len(points), -1, np.int64)
+    first = np.zeros(len(points), bool)
+    first[at] = True
+    for inner in (False, True):
+        own = sorted((ord(x.removeprefix("##") if inner else x), k) for k, x in enumerate(letters) if len(x) == (3 if inner else 1) and (not inner or x.startswith("##")))
+        if own and len(points):
+            known, place = np.array(own, np.int64).T
+            here = np.flatnonzero(first != inner)
+            found = np.minimum(np.searchsorted(known, points[here]), len(known) - 1)
+            places[here] = np.where(known[found] == points[here], place[found], -1)
+    order = np.flatnonzero(np.minimum.reduceat(places, at) >= 0) if len(words) else np.empty(0, np.int64)
+    order = order[np.argsort(-freqs[order], kind="stable")]
+    size, at, freqs = size[order], at[order], freqs[order]
+    to = 1 + np.cumsum(size + 1) - (size + 1)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out = np.full(len(within) + len(size) + 1, -1, kind)
+    out[np.repeat(to, size) + within] = places[np.repeat(at, size) + within]
+    runs = np.flatnonzero(np.concatenate(([True], freqs[1:] != freqs[:-1]))) if len(freqs) else np.empty(0, np.int64)
+    return out, to[runs], freqs[runs]
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(found), values.dtype)
+    np.add.at(out, at, values)
+    return found, out
+
+
+class Part:
+    """Some of the words as `coded` gives them; with a path, their pieces lie in that file."""
+
+    def __init__(self, own: np.ndarray, runs: np.ndarray, freqs: np.ndarray, path: str | None = None):
+        self.kind, self.runs, self.freqs, self.path = own.dtype, runs, freqs, path
+        self.own = own if path is None else own.tofile(path)
+
+    def pairs(self, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a piece at these places and the next one, as one number, and their words' frequencies."""
+        a, b = own[at].astype(np.int64), own[at + 1].astype(np.int64)
+        inside = (a >= 0) & (b >= 0)
+        return a[inside] << 32 | b[inside], self.freqs[np.searchsorted(self.runs, at[inside], "right") - 1]
+
+    def read(self) -> np.ndarray:
+        return self.own if self.path is None else np.fromfile(self.path, self.kind)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        own = self.read()
+        return summed(*self.pairs(own, np.arange(len(own) - 1)))
+
+    def merge(self, a: int, b: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
+        """Puts a piece in the place of each pair (a, b); which pairs' counts change, and by how much."""
+        own = self.read()
+        hits = np.flatnonzero((own[:-1] == a) & (own[1:] == b))
+        if a == b and len(hits):  # of overlapping ones the first, third and so on
+            starts = np.flatnonzero(np.diff(hits, prepend=-2) != 1)
+            hits = hits[(np.arange(len(hits)) - np.repeat(starts, np.diff(starts, append=len(hits)))) % 2 == 0]
+        if not len(hits):
+            return np.empty(0, np.int64), self.freqs[:0]
+        old, less = self.pairs(own, np.unique(np.concatenate((hits - 1, hits, hits + 1))))
+        keep = np.ones(len(own), bool)
+        keep[hits + 1] = False
+        own[hits] = piece
+        own = own[keep]
+        self.runs = self.runs - np.searchsorted(hits + 1, self.runs)
+        hits = hits - np.arange(len(hits))
+        new, more = self.pairs(own, np.unique(np.concatenate((hits - 1, hits))))
+        self.own = own if self.path is None else own.tofile(self.path)
+        return summed(np.concatenate((old, new)), np.concatenate((-less, more)))
+
+
+def merged_pieces(coded_words: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], letters: list[str], room: int) -> list[str]:
+    """Merged pieces in the order of their merges, at most `room`, from words as `coded` gives them.
+
+    What is held of the words are HELD pieces and what a few parts of PART
+    pieces take; the rest lies in temporary files, through which each merge goes
+    once. Besides there are the counts of the pairs.
+    """
+    pieces, place = list(letters), {x: k for k, x in enumerate(letters)}
+    count: dict[int, int] = {}
+    heap: list[tuple] = []
+
+    def entry(key: int) -> tuple:
+        return -count[key], pieces[key >> 32], pieces[key & 0xFFFFFFFF]
+
+    def add(keys: np.ndarray, values: np.ndarray) -> Iterator[int]:
+        """The pairs that have another count now, and one that is not 0."""
+        for key, value in zip(keys.tolist(), values.tolist()):
+            if value:
+                count[key] = count.get(key, 0) + value
+                if count[key] > 0:
+                    yield key
+                else:
+                    del count[key]
+
+    with tempfile.TemporaryDirectory(prefix="textloom-") as folder, ThreadPoolExecutor(min(4, os.cpu_count() or 1)) as pool:
+        parts: list[Part] = []
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = some = 0
+
+        def put() -> None:
+            nonlocal held, some
+            starts = np.cumsum([0, *(len(x) for x, _, _ in waiting[:-1])])
+            own, runs, freqs = np.concatenate([x for x, _, _ in waiting]), np.concatenate([r + k for (_, r, _), k in zip(waiting, starts)]), np.concatenate([f for _, _, f in waiting])
+            parts.append(Part(own, runs, freqs, None if held + len(own) <= HELD else f"{folder}/{len(parts)}"))
+            held += len(own) if parts[-1].path is None else 0
+            waiting.clear()
+            some = 0
+            for _ in add(*parts[-1].counts()):
+                pass
+
+        for x in coded_words:
+            if len(x[0]) > 1:
+                waiting.append(x)
+                some += len(x[0])
+                if some >= PART:
+                    put()
+        if waiting:
+            put()
+        heap += map(entry, count)
+        heapq.heapify(heap)
+        merged: list[str] = []
+        while heap and len(merged) < room:
+            n, a, b = heapq.heappop(heap)
+            pair = place[a], place[b]
+            if -n < 2 or count.get(pair[0] << 32 | pair[1]) != -n:
+                continue
+            piece = a + b.removeprefix("##")
+            merged.append(piece)
+            if place.setdefault(piece, len(pieces)) == len(pieces):
+                pieces.append(piece)
+            changed = zip(*pool.map(lambda part: part.merge(*pair, place[piece]), parts))
+            for key in add(*summed(*map(np.concatenate, changed))):
+                heapq.heappush(heap, entry(key))
+            if len(heap) > 4 * len(count) + 100_000:  # most are out of date
+                heap[:] = map(entry, count)
+                heapq.heapify(heap)
+    return merged
+
+
+def piece_kind(letters: int, size: int) -> str:
+    return "int16" if letters + size < 1 << 15 else "int32"
+
+
 def bpe_merges(freq: Counter | dict[str, int], letters: set[str], size: int) -> list[str]:
     """Merged pieces in the order of their merges, until the vocabulary of `size` is full.
 
@@ -79,62 +239,59 @@ def bpe_merges(freq: Counter | dict[str, int], letters: set[str], size: int) ->
     is the table of distinct words, which is counted in Spark. Every merge is of
     the most frequent pair (at least two), ties by the smaller pair.
     """
-    split, count, where = [], Counter(), defaultdict(set)
-    for word, f in freq.items():
-        own = [c if i == 0 else "##" + c for i, c in enumerate(word)]
-        if own and letters.issuperset(own):
-            k = len(split)
-            split.append((own, f))
-            for pair in zip(own, own[1:]):
-                count[pair] += f
-                where[pair].add(k)
-    heap = [(-n, pair) for pair, n in count.items()]
-    heapq.heapify(heap)
-    merged: list[str] = []
-    room = size - len(SPECIALS) - len(letters)
-    while heap and len(merged) < room:
-        n, pair = heapq.heappop(heap)
-        if -n < 2 or count[pair] != -n:
-            continue
-        piece = pair[0] + pair[1].removeprefix("##")
-        merged.append(piece)
-        changed = set()
-        for k in where.pop(pair):
-            old, f = split[k]
-            new, i = [], 0
-            while i < len(old):
-                if i + 1 < len(old) and (old[i], old[i + 1]) == pair:
-                    new.append(piece)
-                    i += 2
-                else:
-                    new.append(old[i])
-                    i += 1
-            for p in zip(old, old[1:]):
-                count[p] -= f
-                changed.add(p)
-            for p in zip(new, new[1:]):
-                count[p] += f
-                where[p].add(k)
-                changed.add(p)
-            split[k] = (new, f)
-        for p in changed:
-            if count[p] > 0:
-                heapq.heappush(heap, (-count[p], p))
-    return merged
+    words, own = [w for w in freq if len(w) > 1], sorted(letters)
+    return merged_pieces([coded(words, np.array([freq[w] for w in words]), own, piece_kind(len(own), size))], own, size - len(SPECIALS) - len(own))
+
+
+def coded_table(freq: DataFrame, letters: list[str], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of a table as `coded` gives them, some 50,000 at a time; one partition of it comes to the driver at once."""
+    whole = dict(freq.dtypes)["freq"] in ("tinyint", "smallint", "int", "bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[str] = []
+        freqs: list[np.ndarray] = []
+
+        def batch_of() -> pa.RecordBatch:
+            out = coded(words, np.concatenate(freqs), letters, kind)
+            words.clear()
+            freqs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], names=["own", "runs", "freqs"])
+
+        for batch in batches:
+            words += batch.column(0).to_pylist()
+            freqs.append(batch.column(1).to_numpy(zero_copy_only=False))
+            if len(words) >= 50_000:
+                yield batch_of()
+        if words:
+            yield batch_of()
+
+    rows = freq.filter(F.length("word") > 1).select("word", F.col("freq").cast("bigint" if whole else "double"))
+    for r in rows.mapInArrow(run, "own binary, runs binary, freqs binary").toLocalIterator():
+        yield np.frombuffer(r["own"], kind), np.frombuffer(r["runs"], np.int64), np.frombuffer(r["freqs"], np.int64 if whole else np.float64)
 
 
-def train_bpe(freq: DataFrame, size: int, least: int = 2, quota: int = 0, dedup: bool = False, most_words: int = 20_000_000) -> list[str]:
+def train_bpe(freq: DataFrame, size: int, least: int = 2, quota: int = 0, dedup: bool = False, most_words: int | None = None) -> list[str]:
     """A BPE vocabulary: special tokens, the alphabet by frequency of the piece as a word, then merges.
 
-    The driver holds the distinct words; more than `most_words` of them raise
-    instead of filling its memory.
+    The words are counted once. They come to the driver as numbers, a partition
+    at a time, where they take bounded memory and, beyond that, temporary files
+    of two or four bytes for a letter; each merge reads these once, so its time
+    grows with the distinct words. With `most_words`, more of them raise.
     """
-    if (n := freq.count()) > most_words:
-        raise ValueError(f"{n} distinct words; raise `least` or `most_words`")
-    table = {r["word"]: r["freq"] for r in freq.select("word", "freq").toLocalIterator()}
-    letters = {r["piece"] for r in alphabet(freq, least, quota).collect()}
-    merged = bpe_merges(table, letters, size)
-    out = [*SPECIALS, *sorted(letters, key=lambda c: (-table.get(c, 0), c)), *merged]
+    kept = freq.storageLevel.useMemory or freq.storageLevel.useDisk
+    if not kept:
+        freq = freq.persist(StorageLevel.DISK_ONLY)
+    try:
+        if most_words is not None and (n := freq.count()) > most_words:
+            raise ValueError(f"{n} distinct words; raise `least` or `most_words`")
+        letters = sorted(r["piece"] for r in alphabet(freq, least, quota).collect())
+        known = freq.sparkSession.createDataFrame([(x,) for x in letters], "word string")
+        alone = {r["word"]: r["freq"] for r in freq.filter(F.length("word") <= 3).join(F.broadcast(known), "word").select("word", "freq").collect()}
+        merged = merged_pieces(coded_table(freq, letters, piece_kind(len(letters), size)), letters, size - len(SPECIALS) - len(letters))
+    finally:
+        if not kept:
+            freq.unpersist(blocking=True)
+    out = [*SPECIALS, *sorted(letters, key=lambda c: (-alone.get(c, 0), c)), *merged]
     return list(dict.fromkeys(out)) if dedup else out
 
 
