@@ -148,6 +148,18 @@ def test_texts_below_the_similarity_stay(spark):
     assert [k for k, x in enumerate(found) if x < 0.8 and not {2 * k, 2 * k + 1} <= kept] == []
 
 
+def test_the_trees_join_copies_before_the_wide_search(spark, monkeypatch):
+    texts, _ = pairs_of(random.Random(4), [(300, 1)], 40)
+    # both have one fingerprint, as most of their words are the same few, but their sets are not similar
+    texts += ["one two three four five " * 40 + " ".join(f"{x}{k}" for k in range(20)) for x in "pq"]
+    fps = simhash.fingerprints(texts, simhash.WIDE_WORDS)[0].view(np.uint64)
+    near = [k for k in range(40) if int(fps[2 * k] ^ fps[2 * k + 1]).bit_count() <= 4]
+    assert 10 < len(near) < 40 and fps[80] == fps[81]
+    assert kept_ids(spark, texts) == {*range(0, 80, 2), 80, 81}
+    monkeypatch.setattr(simhash, "wide_searched", lambda shards, turn: spark.createDataFrame([], "a long, b long, token long, at long"))
+    assert kept_ids(spark, texts) == set(range(82)) - {2 * k + 1 for k in near}
+
+
 @pytest.mark.parametrize("links", [500_000, 0])
 def test_large_shards_lose_no_link(spark, monkeypatch, links):
     monkeypatch.setattr(simhash, "PAIRS", 1)  # nearly all shards go through the turns

@@ -21,9 +21,14 @@ smallest id, with a jump along labels in each round.
 
 Only distinct fingerprints take part, so exact copies are one row here.
 
-The wide search is for copies with more edits: texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8 at least. Fingerprints only estimate
-that, so it works on the sets: a set of n shingles sorted by one order of all
+near_duplicates links by that search alone. keep_one and wide_duplicates take
+copies with more edits too: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 at least. They begin with the same fingerprints (of five-word
+shingles) and the same trees; each fingerprint is compared with the nearest one
+that the trees link it to, by the whole sets, and those that are similar make the
+first groups. Fingerprints only estimate the similarity, so what they leave apart
+goes through the wide search, which looks at pairs of different groups and works
+on the sets: a set of n shingles sorted by one order of all
 shingles (rare ones first) shares one of its first n - ceil(0.8 n) + 1 with each
 set that is so similar. These shingles are the shards; what meets in one and can
 be similar by size and place is a candidate. Candidates whose odd sketches
@@ -320,6 +325,11 @@ def shingle_set(text: str, words: int = WIDE_WORDS) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
+def set_and_fingerprint(text: str, words: int) -> tuple[np.ndarray, int]:
+    hashes = np.array(shingle_hashes(text, words), np.uint64)
+    return np.unique(hashes), majority(hashes)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two shingle sets have a Jaccard similarity of SIMILAR at least; in whole numbers."""
     top, of = SIMILAR
@@ -560,24 +570,42 @@ def joined(links: DataFrame) -> DataFrame:
     return cut(links.select("a", "b").coalesce(1).mapInArrow(run, "fp bigint, label bigint"))
 
 
-def wide_links(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Links a, b that join the nodes (id, n, prefix, sketch) as all pairs of similar sets would."""
+def tree_links(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Links a, b of similar nodes (id, fp) that the vantage-point trees find.
+
+    Each node is compared with the first of its fingerprint, and that one with
+    the nearest fingerprint it is linked to: two comparisons a node at most, also
+    in large groups.
+    """
+    firsts = cut(nodes.groupBy("fp").agg(F.min("id").alias("id")))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    nearest = near_links(firsts).groupBy("a").agg(F.min(F.struct(apart.alias("apart"), "b"))["b"].alias("b"))
+    for end in "ab":
+        nearest = nearest.join(firsts.select(F.col("fp").alias(end), F.col("id").alias(f"{end}_id")), end)
+    same = nodes.select("fp", F.col("id").alias("a")).join(firsts.withColumnRenamed("id", "b"), "fp").filter("a <> b").select("a", "b")
+    return verified(source, same.unionByName(nearest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), words)
+
+
+def wide_links(source: DataFrame, nodes: DataFrame, words: int, links: DataFrame) -> DataFrame:
+    """The links a, b with more that join the nodes (id, n, prefix, sketch) as all pairs of similar sets would."""
+    of = joined(links)
+    few = F.broadcast(of) if of.count() <= NEEDED else of
+    grouped = nodes.join(few, nodes["id"] == few["fp"], "left").select("id", "n", "prefix", F.coalesce("label", "id").alias("comp"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
         many = np.array([len(x) for x in found], np.int64)
-        ids, n = (np.repeat(batch.column(c).to_numpy(), many) for c in ("id", "n"))
+        ids, n, comp = (np.repeat(batch.column(c).to_numpy(), many) for c in ("id", "n", "comp"))
         pos = np.concatenate([np.empty(0, np.int64), *(np.arange(k) for k in many)])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate([np.empty(0, np.int64), *found]), ids, n.astype(np.int64) << 32 | pos)], names=["token", "id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate([np.empty(0, np.int64), *found]), ids, n.astype(np.int64) << 32 | pos, comp)], names=["token", "id", "at", "comp"])
 
     # at: the size of the set and the place of the token in it; short rows, as there are many
-    rows = map_batches(nodes.select("id", "n", "prefix"), run, "token bigint, id bigint, at bigint", rows=500)
-    links = None
+    rows = map_batches(grouped, run, "token bigint, id bigint, at bigint, comp bigint", rows=500)
     for turn in range(TURNS):
         found = cut(wide_searched(rows.repartition("token").sortWithinPartitions("token"), turn))
         pairs = cut(found.filter(F.col("b").isNotNull()).select("a", "b").distinct())
         new = verified(source, pairs if turn else sifted(nodes, pairs), words)
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         later = found.filter(F.col("b").isNull()).select("token", F.col("a").alias("id"), "at")
         if turn == TURNS - 1 or later.isEmpty():
             return links
@@ -600,26 +628,28 @@ def wide_groups(docs: DataFrame, id_col: str, text: str, words: int) -> tuple[Da
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         from xxhash import xxh3_128_digest
 
-        sets = [shingle_set(x, words) for x in texts_of(batch)]
+        sets, fps = zip(*(set_and_fingerprint(x, words) for x in texts_of(batch))) if batch.num_rows else ((), ())
         digests = np.frombuffer(b"".join(xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
         prefixes = [prefix(x, common, counts).tobytes() for x in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(digests[:, k], pa.int64()) for k in (0, 1)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.binary()), pa.array(map(sketch, sets), pa.binary())],
-            names=["id", "own", "x", "y", "n", "prefix", "sketch"],
+            [batch.column(0), batch.column(1), *(pa.array(digests[:, k], pa.int64()) for k in (0, 1)), pa.array([len(x) for x in sets], pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(prefixes, pa.binary()), pa.array(map(sketch, sets), pa.binary())],
+            names=["id", "own", "x", "y", "n", "fp", "prefix", "sketch"],
         )
 
-    fps = map_batches(source, run, "id bigint, own bigint, x bigint, y bigint, n int, prefix binary, sketch binary", rows=500)
+    fps = map_batches(source, run, "id bigint, own bigint, x bigint, y bigint, n int, fp bigint, prefix binary, sketch binary", rows=500)
     first = F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id")).alias("first")
-    nodes = fps.groupBy("x", "y").agg(first, *(F.first(c).alias(c) for c in ("n", "prefix", "sketch"))).withColumn("id", F.col("first.id"))
+    # texts of one set can have several fingerprints, as these count repeats; one will do, as the set is one node
+    nodes = fps.groupBy("x", "y").agg(first, F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "prefix", "sketch"))).withColumn("id", F.col("first.id"))
     # a table, as most readers need few of its columns
     nodes = stored(nodes, "nodes")
-    of = joined(wide_links(source.select("id", "text"), nodes, words))
+    texts = source.select("id", "text")
+    of = joined(wide_links(texts, nodes, words, tree_links(texts, nodes, words)))
     nodes = nodes.join(of, nodes["id"] == of["fp"], "left").select("x", "y", "first", F.coalesce("label", "id").alias("label"))
     return fps.select("own", "x", "y"), nodes.join(nodes.groupBy("label").agg(F.min("first").alias("best")), "label").select("x", "y", F.col("best").alias("first"))
 
 
 def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WIDE_WORDS) -> DataFrame:
-    """id_col and component_id of each row of docs, by the wide search.
+    """id_col and component_id of each row of docs, by the trees and the wide search.
 
     Links join texts whose sets of word shingles have a similarity of SIMILAR at
     least, all of these and no others. Cases are those of near_duplicates; ids
@@ -630,7 +660,7 @@ def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group that the wide search joins, that with the smallest id; all columns are kept.
+    """docs with one row of each group that the trees and the wide search join, that with the smallest id; all columns are kept.
 
     Rows that share an id are told apart by their text, so two different texts of
     one id both stay; of rows that agree in both, one is kept. A row without an
