@@ -77,3 +77,15 @@ def test_empty_tables(spark, monkeypatch, plan):
     docs = cases.documents(spark)
     assert D.find_contamination(docs, b).filter("n_hit = 0 and not contaminated").count() == docs.count()
     assert D.find_contamination(cases.empty(spark), b).count() == 0
+
+
+def test_windows_in_the_plan_are_few_nodes(spark):
+    docs = cases.documents(spark)
+
+    def plans(n):
+        b = spark.createDataFrame([(1, " ".join(f"w{i}é" for i in range(n)))], "item_id long, text string")
+        found = D.find_contamination(docs, b)._jdf.queryExecution()
+        return found.analyzed().toJSON().count("expressions.Literal"), found.optimizedPlan().toString()
+
+    few, many = plans(14), plans(500)
+    assert few[0] == many[0] and "from_json" not in many[1]

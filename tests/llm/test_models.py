@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,22 @@ def test_token_counts_equal_the_library():
     assert count(texts) == [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_profiles_are_learned_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    pairs = [(lang, "".join(rng.choice(list(letters), 20_000))) for lang in "xy" for letters in ["abcdefgh " if lang == "x" else "ghijklmn "] * 25]
+    tracemalloc.start()
+    _, _, tops = langid.Profiles.learn(pairs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6  # all n-grams of a language are 6 MB, and a sort copies them
+    grams = langid.Grams("abcdefghijklmn")
+    for lang, top in tops.items():
+        every = np.concatenate([grams.of(t) for x, t in pairs if x == lang])
+        assert top.tolist() == langid.ranked(*np.unique(every, return_counts=True), langid.PROFILE).tolist()
+
+
 def test_the_store_of_counts_is_bounded(monkeypatch):
     path = tokenizer_path("byte_bpe_50k.json")
     monkeypatch.setattr(token_count, "REMEMBERED", 50)

@@ -175,6 +175,22 @@ def test_large_shards_lose_no_link(spark, monkeypatch, links):
     assert 4 < len(set(want.values())) < 100 and {r.i: r.component_id for r in got} == want
 
 
+def test_first_turn_makes_rows_in_proportion(spark):
+    def rows(m):
+        shards = spark.createDataFrame([(5, i, 300 << 32 | i % 7, i) for i in range(m)], "token long, id long, at long, comp long")
+        return simhash.wide_searched(shards.coalesce(1), 0).count()
+
+    assert rows(5) == 10 and rows(9) == 36
+    assert rows(30) <= 2 * 30 and rows(300) <= 2 * 300  # not 435 pairs; these wait for sketches
+
+
+def test_the_order_of_shingles_knows_what_recurs_in_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 10)
+    texts = [(i, f"a{i} b{i} c{i} d{i} e{i}" if i % 8 else "the same five words here") for i in range(400)]
+    common, counts = simhash.common_shingles(spark.createDataFrame(texts, "id long, text string"), 5)
+    assert common.tolist() == simhash.shingle_set("the same five words here", 5).tolist() and counts[0] > 2
+
+
 def vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]

@@ -19,6 +19,9 @@ block, goes on to the windows.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,25 +63,39 @@ def bounded(windows: DataFrame) -> bool:
     return windows.limit(IN_PLAN + 1).count() <= IN_PLAN
 
 
+def among(found: dict, kind: str) -> Callable[[str, str], str]:
+    """A test, for SQL, of whether a value is among those found, by its 64-bit hash.
+
+    found has the hash of each value. It becomes one literal, an array of buckets
+    by the low bits of hashes. As many literals after `in` would be as many nodes of
+    the plan, which each step of planning on the driver goes through and copies.
+    """
+    buckets: list[list] = [[] for _ in range(1 << max(0, len(found) - 1).bit_length())]
+    for value, h in sorted(found.items()):
+        buckets[h & (len(buckets) - 1)].append(value)
+    literal = json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))  # words have no quotes, backslashes or control characters
+    array = f"from_json('{literal}', 'array<array<{kind}>>', map('mode', 'FAILFAST', 'maxStringLen', '2147483647'))"
+    return lambda value, h: f"array_contains(element_at({array}, cast({h} & {len(buckets) - 1} as int) + 1), {value})"
+
+
 def hits_in_row(windows: DataFrame) -> Column:
     """The verified hits in the array of words w, for windows that are bounded()."""
-    sets: dict[int, tuple[set, set, set]] = {}
-    for r in windows.select("len", "hash", "blocks", F.array_join("gram", " ").alias("gram")).collect():  # IN_PLAN rows at most
-        hashes, blocks, grams = sets.setdefault(r["len"], (set(), set(), set()))
-        hashes.add(r["hash"])
-        blocks.update(r["blocks"])
-        grams.add(r["gram"])
+    sets: dict[int, tuple[dict, dict, dict]] = {}
+    gram = F.array_join("gram", " ")
+    for r in windows.select("len", "hash", "blocks", gram.alias("gram"), F.xxhash64(gram).alias("key")).collect():  # IN_PLAN rows at most
+        hashes, blocks, grams = sets.setdefault(r["len"], ({}, {}, {}))
+        hashes[r["hash"]] = r["hash"]
+        blocks.update((h, h) for h in r["blocks"])
+        grams[r["gram"]] = r["key"]
     if not sets:
         return F.array().cast(HIT)
-    among = lambda known: ", ".join(f"{h}L" for h in sorted(known))
     maybe, found = [], []
     for n, (hashes, blocks, grams) in sorted(sets.items()):
         b = (n + 1) // 2
-        maybe.append(f"exists({places(b, b)}, i -> xxhash64(slice(w, i, {b})) in ({among(blocks)}))")
-        at = f"filter({places(n, 1)}, i -> xxhash64(slice(w, i, {n})) in ({among(hashes)}))"
-        seen = f"transform({at}, i -> named_struct('at', i, 'len', {n}, 'gram', array_join(slice(w, i, {n}), ' ')))"
-        known = ", ".join(f"'{g}'" for g in sorted(grams))  # words have no quotes
-        found.append(f"filter({seen}, x -> x.gram in ({known}))")
+        maybe.append(f"exists(transform({places(b, b)}, i -> xxhash64(slice(w, i, {b}))), h -> {among(blocks, 'bigint')('h', 'h')})")
+        at = f"filter(transform({places(n, 1)}, i -> named_struct('at', i, 'hash', xxhash64(slice(w, i, {n})))), x -> {among(hashes, 'bigint')('x.hash', 'x.hash')})"
+        seen = f"transform({at}, x -> named_struct('at', x.at, 'len', {n}, 'gram', array_join(slice(w, x.at, {n}), ' ')))"
+        found.append(f"filter({seen}, x -> {among(grams, 'string')('x.gram', 'xxhash64(x.gram)')})")
     return F.expr(f"case when {' or '.join(maybe)} then concat({', '.join(found)}) else array() end").cast(HIT)
 
 

@@ -311,10 +311,11 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 #: Wide search: words of a shingle, the similarity of shingle sets from which texts are copies (as a fraction), and the
-#: documents sampled and the shingles listed for the order of shingles, which bears on cost only, not on what is found.
-WIDE_WORDS, SIMILAR, SAMPLE, COMMON = 5, (4, 5), 10_000, 100_000
-#: A shard with more pairs than this for each member is searched by pivots first, in so many turns at most, by so many pivots.
-PAIRS, TURNS, PIVOTS = 16, 4, 8
+#: documents sampled (these at least, and at least one of EVERY) and the shingles listed for the order of shingles, which bears on cost only, not on what is found.
+WIDE_WORDS, SIMILAR, SAMPLE, EVERY, COMMON = 5, (4, 5), 10_000, 5, 100_000
+#: A shard with more pairs than this for each member is searched by pivots first, in so many turns at most, by so many pivots; FIRST
+#: pairs in the first turn, which has no sketches to drop pairs by: a shard that grows with the input is left to those that have.
+PAIRS, FIRST, TURNS, PIVOTS = 16, 4, 4, 8
 #: Ids of candidates that are broadcast at most; beyond, their texts are found by a shuffled join.
 NEEDED = 500_000
 #: Links that are joined in one task at most; more are joined in rounds.
@@ -354,7 +355,8 @@ def common_shingles(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
         found = [shingle_set(x, words) for x in texts_of(batch)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64), pa.int64())], names=["token"])
 
-    every = max(1, source.count() // SAMPLE)
+    # not a fixed number: what recurs n times would leave the list as the input grows, and the shards of such shingles have n * n pairs
+    every = min(max(1, source.count() // SAMPLE), EVERY)
     part = source.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
     counted = map_batches(part, run, "token bigint", rows=500).groupBy("token").agg(F.count("*").alias("n"))
     found = counted.filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
@@ -415,7 +417,8 @@ def shard_pairs(part: dict, turn: int) -> tuple[Iterator[tuple[int, np.ndarray]]
     ids, n, pos, group, sketches = part["id"], part["at"] >> 32, part["at"] & 0xFFFFFFFF, part.get("comp", part["id"]), part.get("sketch")
     _, own, sizes = np.unique(group, return_inverse=True, return_counts=True)
     m = len(ids)
-    whole = turn == TURNS - 1 or m * m - int((sizes.astype(np.int64) ** 2).sum()) <= 2 * PAIRS * m
+    most = min(PAIRS, FIRST) if turn == 0 else PAIRS
+    whole = turn == TURNS - 1 or m * m - int((sizes.astype(np.int64) ** 2).sum()) <= 2 * most * m
     if sketches is not None and len(sizes) > 1:
         sketches = [np.frombuffer(x, np.uint64) for x in sketches.tolist()]
 
